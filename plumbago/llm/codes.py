@@ -20,6 +20,7 @@ PIXELS = 100
 ENCODED = "sample_id string, role string, hash string, gray binary, source_group_id string, source_asset_ids array<string>"
 #: Distances are compared with this much room for float32 rounding; one gray level is 3.9e-5 of the mean over 100 pixels.
 ROOM = 1e-6
+FLAT = 0.1
 
 
 def encode_views(views: pa.Array, pixels: int = PIXELS) -> list[bytes | None]:
@@ -91,11 +92,11 @@ def bits(q: np.ndarray) -> np.ndarray:
 
 
 def flat_cells(q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Views of so little contrast that their bits say nothing (mean absolute deviation under 4 limits), and the cell of
-    each view's mean in steps of ``limit``: means of views within the limit lie in the same or in neighbouring cells."""
+    """Views of so little contrast that their bits say little (mean absolute deviation up to FLAT), and the cell of each
+    view's mean in steps of ``limit``: means of views within the limit lie in the same or in neighbouring cells."""
     mean = q.mean(1, dtype=np.float64)
     spread = np.abs(q - mean[:, None]).mean(1) / 255
-    return spread <= 4 * limit, np.floor(mean / 255 / limit).astype(np.int64)
+    return spread <= FLAT, np.floor(mean / 255 / limit).astype(np.int64)
 
 
 def segments(tables: int, width: int, pixels: int = PIXELS, seed: int = 7) -> list[np.ndarray]:
