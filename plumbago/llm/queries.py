@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import capping, clusters, ledger, overlaps, splits
+from plumbago.llm import capping, clusters, ledger, mixing, overlaps, packing, splits, toxicity
 from plumbago.llm.keys import canon_col, trimmed
+from plumbago.llm.tokens import with_tokens
 from plumbago.session import table, written
 
 SAMPLE_RATE = 0.1
@@ -76,8 +77,48 @@ def p5_crop_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.crop_groups(table(spark, sf_dir, "review_candidates"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return packing.packed(written(sizes, "pack-sizes"), table(spark, sf_dir, "container_sizes"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir)
+
+
+def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(_placed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, targets = mixing.mix_input(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), with_tokens)
+    return mixing.mixed(written(docs, "mix-docs"), targets)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), ["doc_id", "source"])
+    by = scored.groupBy(canon_col("source").alias("source"))
+    return by.agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_sample, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_glyph_groups, p5_crop_groups]
+    own = [p1_sample, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p5_glyph_groups, p5_crop_groups, p6_containers, p6_usage, p7_mix, p7_shares, p8_found, p8_scores, p8_rates]
     return {f.__name__: f for f in own}
 
 
