@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,14 +73,20 @@ def components_of(mask: np.ndarray) -> int:
         label = new
 
 
+@functools.cache
+def _area_weights(n: int, size: int = 32) -> np.ndarray:
+    """size x n averaging matrix: each output cell is the mean over its share of the n input cells."""
+    edge = np.linspace(0, n, size + 1)
+    cover = np.minimum(edge[1:, None], np.arange(1, n + 1)[None]) - np.maximum(edge[:-1, None], np.arange(n)[None])
+    return np.clip(cover, 0, None) * size / n
+
+
 def perceptual_hash(image: np.ndarray) -> int:
     """64 bits: the 8 x 8 low DCT terms of the 32 x 32 area-averaged image against the median of all but the first."""
-    h, w = image.shape
-    ys, xs = (np.linspace(0, n, 33).round().astype(int) for n in (h, w))
-    small = np.array([[image[ys[i] : max(ys[i] + 1, ys[i + 1]), xs[j] : max(xs[j] + 1, xs[j + 1])].mean() for j in range(32)] for i in range(32)])
+    rows, cols = (_area_weights(n) for n in image.shape)
     k = np.arange(32)
     basis = np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / 64)[:8]
-    low = (basis @ small @ basis.T).ravel()
+    low = (basis @ (rows @ image @ cols.T) @ basis.T).ravel()
     out = 0
     for bit in low > np.median(low[1:]):
         out = out << 1 | int(bit)
