@@ -324,8 +324,8 @@ def attention_top1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
-    bit = F.transform(F.slice("views", 1, 64), lambda v, i: F.when(v > 0.5, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return table(spark, d, "glyph_items").where("views IS NOT NULL").select("sample_id", F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("code"))
+    code = "aggregate(transform(slice(views, 1, 64), (v, i) -> if(v > 0.5, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+    return table(spark, d, "glyph_items").where("views IS NOT NULL").select("sample_id", F.expr(code).alias("code"))
 
 
 @query("""WITH c AS (SELECT DISTINCT sample_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN views[i] > 0.5 THEN 1::HUGEINT << (i - 1) ELSE 0 END))::UBIGINT AS code FROM glyph_items WHERE views IS NOT NULL), r AS (SELECT code, min(sample_id) rep FROM c GROUP BY code)
