@@ -25,23 +25,46 @@ BITS = 18
 BUCKETS = 1 << BITS
 ORDERS = 4
 #: Bound of the labelled documents the classifier is fitted on, by label.
-FIT_POSITIVE, FIT_NEGATIVE = 2500, 8000
+FIT_POSITIVE, FIT_NEGATIVE = 2500, 7000
 POSITIVE_WEIGHT = 3.0
+#: A sentence's score is its sum over n-grams divided by their number to this power.
+LENGTH_POWER = 0.35
 
 # Cyrillic and Greek letters and the Latin letters they look like.
 _LOOKALIKE = dict(zip("аеорсхуіјѕкмтвнгԁαβεικνορτυχ", "aeopcxyijskmtbhrdabeiknoptux", strict=True))
-_INVISIBLE = "".join(chr(c) for c in range(0x110000) if c not in (9, 10, 13) and unicodedata.category(chr(c)) in ("Cf", "Mn", "Cc") or 0xFE00 <= c <= 0xFE0F)
 _LEET = str.maketrans("013457@$", "oieastas")
 _HAN = "㐀-䶿一-鿿"
+_GAP = " \\t·•・|丶*_~^./\\\\+#=\\-"
 _HAN_ANY = re.compile(f"[{_HAN}]")
-_HAN_GAP = re.compile(rf"(?<=[{_HAN}])[ \t·•・|丶*_~^./\\+#=\-]{{1,3}}(?=[{_HAN}])")
-_SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$*][ \t·•・|*_~^./\\+#=\-]){2,}[a-z0-9@$*](?![a-z0-9])")
-_INNER = re.compile(r"(?<=[a-z])[·•・|*_~^丶]+(?=[a-z])")
-_SEPARATOR = re.compile(r"[ \t·•・|_~^./\\+#=\-]")
-_LEET_IN = re.compile(r"(?<=[a-z])[013457@$]+(?=[a-z])|(?<![a-z0-9])[013457@$](?=[a-z]{2})")
-_NUMBER = re.compile(r"[0-9][0-9.,]*[0-9]|[1-9]")
-_STRETCH = re.compile(r"([a-z])\1{2,}")
-_SENTENCE = re.compile(r"[。！？!?;；\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+|(?<=[^\W_]{2})\.(?=\s|$|[㐀-鿿])|[.…]{2,}")
+_INVISIBLE = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\xad\u0300-\u036f\u0600-\u0605\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0001-\U000e01ef]")
+_FOREIGN = re.compile("[\u0370-\u052f]")
+_LATIN = re.compile("[ßà-ɏ]")
+# Patterns start with the rarest character class, which the matcher can search for; what comes before is looked at after.
+_HAN_GAP = re.compile(f"[{_GAP}]{{1,3}}(?=[{_HAN}])")
+_SPACED = re.compile(f"[a-z0-9@$*](?<![a-z0-9][a-z0-9@$*])(?:[{_GAP}][a-z0-9@$*]){{2,}}(?![a-z0-9])")
+_INNER = re.compile("[·•・|*_~^丶]+(?=[a-z])")
+_SEPARATOR = re.compile("[ \\t·•・|_~^./\\\\+#=\\-]")
+_LEET_IN = re.compile("[013457@$]+(?=[a-z])")
+_NUMBER = re.compile("[0-9][0-9.,]*[0-9]|[1-9]")
+_DOT = re.compile(rf"\.(?=\s|$|[{_HAN}])(?<=[^\W_][^\W_]\.)|\.\.+")
+_END = re.compile("[。！？!?;；…\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
+
+
+def _between_han(m: re.Match) -> str:
+    return "" if m.start() and _HAN_ANY.match(m.string[m.start() - 1]) else m.group()
+
+
+def _inside_word(m: re.Match) -> str:
+    return "" if m.start() and "a" <= m.string[m.start() - 1] <= "z" else m.group()
+
+
+def _letters(m: re.Match) -> str:
+    """Digits for letters: between letters, or one at the start of a word."""
+    before = m.string[m.start() - 1] if m.start() else " "
+    after = m.string[m.end() : m.end() + 2]
+    if "a" <= before <= "z" or (len(m.group()) == 1 and not before.isalnum() and after.isalpha() and after.isascii()):
+        return m.group().translate(_LEET)
+    return m.group()
 
 
 def undisguised(text: str) -> str:
@@ -49,17 +72,18 @@ def undisguised(text: str) -> str:
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text) if _LATIN.search(text) else text
-        text = text.translate(_TABLE)
-        text = _HAN_GAP.sub("", text)
+        if _LATIN.search(text):
+            text = unicodedata.normalize("NFKD", text).replace("ß", "ss")
+        text = _INVISIBLE.sub("", text)
+        text = _FOREIGN.sub(lambda m: _LOOKALIKE.get(m.group(), m.group()), text)
+        text = _HAN_GAP.sub(_between_han, text)
     text = _SPACED.sub(lambda m: _SEPARATOR.sub("", m.group()), text)
-    text = _LEET_IN.sub(lambda m: m.group().translate(_LEET), text)
-    text = _INNER.sub("", text)
-    return _NUMBER.sub("0", _STRETCH.sub(r"\1", text))
-
-
-_TABLE = {**{ord(c): None for c in _INVISIBLE}, **{ord(a): b for a, b in _LOOKALIKE.items()}, ord("ß"): "ss"}
-_LATIN = re.compile(r"[à-ɏ]")
+    text = _LEET_IN.sub(_letters, text)
+    text = _INNER.sub(_inside_word, text)
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        if c * 3 in text:
+            text = re.sub(c + "{3,}", c, text)
+    return _NUMBER.sub("0", text)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -70,7 +94,7 @@ def sentences(text: str | None) -> list[str]:
 def split_all(texts: list[str | None]) -> list[list[str]]:
     """``sentences`` of many texts: equal raw sentences are undisguised once, all in one pass over a joined string."""
     index: dict[str, int] = {}
-    of = [[index.setdefault(s, len(index)) for s in _SENTENCE.split(t) if s] if t else [] for t in texts]
+    of = [[index.setdefault(s, len(index)) for s in _END.split(_DOT.sub("\n", t)) if s] if t else [] for t in texts]
     clear = [s.strip() for s in undisguised("\n".join(index)).split("\n")] if index else []
     return [[clear[k] for k in ids if clear[k]] for ids in of]
 
@@ -93,14 +117,38 @@ def _grams(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield f[inside], row[:k][inside]
 
 
-def ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams by sentence: (feature, offsets)."""
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    feats, rows = zip(*_grams(parts), strict=True)
-    f, r = np.concatenate(feats), np.concatenate(rows)
-    o = np.argsort(r, kind="stable")
-    return f[o], np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(parts)))])
+def ngrams(parts: list[str], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams by sentence: (feature, offsets). Grams of a sentence lie together, by order and place."""
+    size = np.array([len(p) + 2 for p in parts], np.int64)
+    per = [np.maximum(size - n + 1, 0) for n in range(1, ORDERS + 1)]
+    offset = np.concatenate([[0], np.cumsum(np.sum(per, axis=0))]) if parts else np.zeros(1, np.int64)
+    out = np.empty(offset[-1], np.int32)
+    for lo in range(0, len(parts), chunk):
+        own = slice(lo, lo + chunk)
+        start = offset[:-1][own].copy()
+        for n, (f, r) in enumerate(_grams(parts[own])):
+            count = per[n][own]
+            inside = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            out[start[r] + inside] = f
+            start += count
+    return out, offset
+
+
+def _by_sentence(feature: np.ndarray, offset: np.ndarray, most: int = 2_000_000):
+    """(feature, row) in slices of whole sentences, about ``most`` n-grams each: bounds the temporary arrays."""
+    lo = 0
+    while lo < len(offset) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offset, offset[lo] + most, "right")) - 1)
+        yield feature[offset[lo] : offset[hi]], np.repeat(np.arange(lo, hi), np.diff(offset[lo : hi + 1]))
+        lo = hi
+
+
+def sums(feature: np.ndarray, offset: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each sentence's n-grams."""
+    out = np.zeros(len(offset) - 1)
+    for f, r in _by_sentence(feature, offset):
+        out += np.bincount(r, weight[f], len(out))
+    return out
 
 
 @dataclass
@@ -110,8 +158,7 @@ class Model:
     threshold: float
 
     def scores(self, feature: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        n = np.diff(offset)
-        return self._squash(np.bincount(np.repeat(np.arange(len(n)), n), self.weight[feature], len(n)), n)
+        return self._squash(sums(feature, offset, self.weight), np.diff(offset))
 
     def of_sentences(self, parts: list[str]) -> np.ndarray:
         total, n = np.zeros(len(parts)), np.zeros(len(parts))
@@ -121,14 +168,15 @@ class Model:
         return self._squash(total, n)
 
     def _squash(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(n, 1)) + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) ** LENGTH_POWER + self.bias, -30, 30)))
 
 
 def log_ratios(feature: np.ndarray, offset: np.ndarray, pos_mass: np.ndarray, neg_mass: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """Smoothed log of how much more often each n-gram occurs in the positive than in the negative sentences."""
-    row = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
-    pos = np.bincount(feature, pos_mass[row], BUCKETS)
-    neg = np.bincount(feature, neg_mass[row], BUCKETS)
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for f, r in _by_sentence(feature, offset):
+        pos += np.bincount(f, pos_mass[r], BUCKETS)
+        neg += np.bincount(f, neg_mass[r], BUCKETS)
     scale = max(neg.sum(), 1.0) / max(pos.sum(), 1.0)
     return np.log((pos * scale + alpha * min(scale, 10)) / (neg + alpha * min(scale, 10))).astype(np.float32)
 
@@ -150,7 +198,7 @@ def _linear(feature: np.ndarray, offset: np.ndarray, y: np.ndarray, weight: np.n
             ends = np.cumsum(k)
             f = feature[np.arange(ends[-1]) - np.repeat(ends - k, k) + np.repeat(offset[rows], k)]
             r = np.repeat(np.arange(len(rows)), k)
-            scale = 1 / np.sqrt(np.maximum(k, 1))
+            scale = 1 / np.maximum(k, 1) ** LENGTH_POWER
             z = np.bincount(r, (coef * ratio)[f], len(rows)) * scale + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             g = (p - y[rows]) * weight[rows]
@@ -166,14 +214,14 @@ def _linear(feature: np.ndarray, offset: np.ndarray, y: np.ndarray, weight: np.n
     return Model((coef * ratio).astype(np.float32), float(bias), 0.5)
 
 
-def fit(texts: list[str], labels: list[int], positive_rate: float | None = None, folds: int = 2) -> Model:
+def fit(texts: list[str], labels: list[int], positive_rate: float | None = None, folds: int = 2, passes: int = 2) -> Model:
     """Fit on labelled documents.
 
     1. For each fold, n-gram ratios of the sentences in positive and negative documents outside the fold; sentences of
-       the fold's positive documents above 99 % of its negative documents' sentences (with and without Han apart) carry the
+       the fold's positive documents above 97 % of its negative documents' sentences (with and without Han apart) carry the
        label.
     2. For each fold, a classifier of these sentences from the other folds: its scores of the fold's documents set the
-       threshold at the best F1 and choose the label-carrying sentences anew.
+       threshold at the best F1 and choose the label-carrying sentences anew (``passes`` times).
     3. The classifier of all folds. ``positive_rate`` is the share of positives among all labelled documents, of which
        the sample may hold more.
     """
@@ -190,20 +238,15 @@ def fit(texts: list[str], labels: list[int], positive_rate: float | None = None,
         return np.bincount(np.concatenate([of[k] for k in docs] or [np.zeros(0, np.int64)]), minlength=total).astype(float)
 
     n = np.diff(offset)
-    row = np.repeat(np.arange(total), n)
     han = np.array([bool(_HAN_ANY.search(t)) for t in index])
     carriers: set[int] = set()
     for k in range(folds):
         ratio = log_ratios(feature, offset, mass(np.flatnonzero((fold != k) & (y == 1))), mass(np.flatnonzero((fold != k) & (y == 0))))
-        s = np.bincount(row, ratio[feature], total) / np.sqrt(np.maximum(n, 1))
+        s = sums(feature, offset, ratio) / np.sqrt(np.maximum(n, 1))
         clean = mass(np.flatnonzero((fold == k) & (y == 0))) > 0
-        high, low = (np.array([max(np.quantile(s[clean & own], q), least) if (clean & own).any() else least for own in (~han, han)])[han.astype(int)] for q, least in ((0.99, 0.3), (0.9, 0.1)))
+        bar = np.array([max(np.quantile(s[clean & own], 0.97), 0.3) if (clean & own).any() else 0.3 for own in (~han, han)])[han.astype(int)]
         for d in np.flatnonzero((fold == k) & (y == 1)):
-            ids = of[d][s[of[d]] > high[of[d]]]
-            if not len(ids) and len(of[d]):
-                ids = of[d][[int(np.argmax(s[of[d]] - low[of[d]]))]]
-                ids = ids[s[ids] > low[ids]]
-            carriers.update(ids.tolist())
+            carriers.update(of[d][s[of[d]] > bar[of[d]]].tolist())
 
     def train(docs: np.ndarray, chosen: set[int]) -> Model:
         pos, neg = mass(docs[y[docs] == 1]), mass(docs[y[docs] == 0])
@@ -211,19 +254,21 @@ def fit(texts: list[str], labels: list[int], positive_rate: float | None = None,
         carried[list(chosen)] = 1
         target = ((carried > 0) & (pos >= neg)).astype(float)
         # sentences of positive documents that don't carry the label are left out, those of negative ones count by document
-        return _linear(feature, offset, target, np.where(target > 0, (pos > 0) * POSITIVE_WEIGHT, np.sqrt(neg)))
+        return _linear(feature, offset, target, np.where(target > 0, (pos > 0) * POSITIVE_WEIGHT, neg**0.75))
 
     out_of_fold = np.zeros(len(y))
-    again: set[int] = set()
-    for k in range(folds):
-        s = train(np.flatnonzero(fold != k), carriers).scores(feature, offset)
-        for d in np.flatnonzero((fold == k)):
-            if len(of[d]):
-                out_of_fold[d] = s[of[d]].max()
-                if y[d]:
-                    again.update(of[d][s[of[d]] >= min(0.5, max(0.3, s[of[d]].max() * 0.6))].tolist())
+    for _ in range(passes):
+        again: set[int] = set()
+        for k in range(folds):
+            s = train(np.flatnonzero(fold != k), carriers).scores(feature, offset)
+            for d in np.flatnonzero(fold == k):
+                if len(of[d]):
+                    out_of_fold[d] = s[of[d]].max()
+                    if y[d]:
+                        again.update(of[d][s[of[d]] >= max(0.5, 0.6 * out_of_fold[d])].tolist())
+        carriers = again or carriers
     threshold = best_threshold(out_of_fold, y, positive_rate)
-    model = train(np.arange(len(y)), again or carriers)
+    model = train(np.arange(len(y)), carriers)
     return Model(model.weight, model.bias, threshold)
 
 
@@ -235,7 +280,7 @@ def best_threshold(score: np.ndarray, y: np.ndarray, positive_rate: float | None
     o = np.argsort(-score, kind="stable")
     tp, n = np.cumsum((w * y)[o]), np.cumsum(w[o])
     f1 = 2 * tp / (n + (w * y).sum())
-    k = int(np.flatnonzero(f1 >= 0.99 * f1.max())[-1])  # the lowest threshold about as good as the best
+    k = int(np.flatnonzero(f1 >= 0.985 * f1.max())[-1])  # the lowest threshold about as good as the best
     nxt = score[o][k + 1] if k + 1 < len(o) else 0.0
     return float((score[o][k] + nxt) / 2)
 
