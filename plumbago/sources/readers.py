@@ -6,7 +6,7 @@ import tomllib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def json_lines(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): blank lines skipped; malformed lines and repeated keys are errors with their line number."""
-    raw = spark.read.text(path, wholetext=False).select(F.col("value"), (F.col("_metadata.row_index") + 1).alias("line"), F.col("_metadata.file_name").alias("file")).where("trim(value) <> ''")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}
+        for pdf in frames:
+            at = pdf.groupby(["file", "block"]).cumcount()
+            base = [seen.get(k, 0) for k in zip(pdf["file"], pdf["block"], strict=True)]
+            for k, n in pdf.groupby(["file", "block"]).size().items():
+                seen[k] = seen.get(k, 0) + int(n)
+            yield pdf.assign(inside=at + base + 1)
+
+    inside = lines.mapInPandas(numbered, "value string, file string, block long, inside long")
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offset = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    raw = inside.join(offset, ["file", "block"]).select("value", "file", (F.col("inside") + F.col("offset")).alias("line")).where("trim(value) <> ''")
     parsed = raw.withColumn("r", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     good = parsed.where("r._bad IS NULL").select("file", "line", "r.*").drop("_bad")
     bad = parsed.where("r._bad IS NOT NULL").select("file", "line", F.lit("malformed").alias("error"))
