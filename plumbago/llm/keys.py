@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_DROP = re.compile(r"[\s\-_‐-―−­​-‏‪-‮⁠-⁤﻿︀-️\U000e0100-\U000e01ef]+")
+_DROP = re.compile("[\\s\\-_\u2010-\u2015\u2212\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f\ufe63\uff0d\uff3f\U000e0100-\U000e01ef]+")
 _ASCII_DROP = str.maketrans("", "", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f-_")
 
 
@@ -41,4 +41,4 @@ def canon_col(column: Column | str) -> Column:
 def trimmed(column: Column | str) -> Column:
     """An id as results show it: trimmed and in lower case; blank gives null. Runs in the JVM."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s　 ]+|[\s　 ]+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(c, "^[\\s\u3000\u00a0\ufeff\u200b]+|[\\s\u3000\u00a0\ufeff\u200b]+$", "")), F.lit(""))
