@@ -30,6 +30,7 @@ def advance(ledger: DataFrame | None, rows: DataFrame, key: str, delivery: str,
     newest of ``rows``; repeated rows count once, at their first delivery. Deliveries not after the ledger's last
     one are taken as the next one (a ledger never reopens a quota). Empty rows leave the ledger as it is.
     """
+    # the ledger is read several times: hand in the stored one, not the plan that made it
     if not 0 <= rate <= 1:
         raise ValueError("rate must be between 0 and 1")
     keyed = rows.select((canon_col(key) if canonical else F.col(key).cast("string")).alias("key"), F.col(delivery).cast("int").alias("delivery")).where("key IS NOT NULL")

@@ -74,7 +74,7 @@ def packed(sizes: DataFrame, containers: DataFrame, shard_rows: int = SHARD) ->
     base = base.withColumn("order", F.xxhash64("doc_id"))
     pieces = F.explode_outer(F.when(F.col("total") > 0, F.sequence(F.lit(0), ((F.col("total") - 1) / F.col("capacity")).cast("int"))))
     cut = base.withColumn("piece", pieces).withColumn("start_token", (F.col("piece") * F.col("capacity")).cast("long"))
-    cut = cut.withColumn("n_tokens", F.least(F.col("total") - F.col("start_token"), F.col("capacity").cast("long")))
+    cut = cut.withColumn("n_tokens", F.when(F.col("piece").isNotNull(), F.least(F.col("total") - F.col("start_token"), F.col("capacity").cast("long"))))
     cut = written(cut.select("container_name", "capacity", "doc_id", "piece", "start_token", "n_tokens", "order"), "pack-pieces")
     n = cut.where("n_tokens < capacity").count()
     shards = max(1, -(-n // (shard_rows * len(kinds))))

@@ -55,7 +55,7 @@ def test_packing_keeps_everything(spark):
 def test_tokens_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "<|endoftext|>"), (5, "字" * 60000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.with_tokens(df, "text", ["doc_id"]).collect()}
-    assert got[1] == got[2] == 0 and got[3] == 2 and got[4] > 1 and got[5] >= 30000
+    assert got[1] == got[2] == 0 and 0 < got[3] <= 4 and got[4] > 1 and got[5] >= 30000
 
 
 def test_shares_repeats_and_positions(spark):
