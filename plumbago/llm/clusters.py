@@ -76,8 +76,8 @@ def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _links(q: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs within ``reach`` inside the buckets, with their distance.
 
-    Small buckets are compared in full. In buckets above WIDE rows, leaders absorb what is within half of ``reach`` x 2/3
-    (the limit) of them and only rows not yet absorbed become leaders, each of which is compared with all rows.
+    Small buckets are compared in full. In buckets above WIDE rows only the pairs that tell components apart are given, so
+    the components under ``reach`` x 2/3 (the limit), and which of them have rows within ``reach``, are the same either way.
     """
     n = len(q)
     ends = np.r_[starts[1:], n]
@@ -90,24 +90,55 @@ def _links(q: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray,
         d = distance(q, i, j)
         ok = d <= reach + ROOM
         got.append((i[ok], j[ok], d[ok]))
-    limit = reach / 1.5
     for s, e in zip(starts[~small], ends[~small], strict=True):
-        free = np.ones(e - s, bool)
-        at = 0
-        while at < e - s:
-            if free[at]:
-                others = np.delete(np.arange(s, e), at)
-                d = distance(q, np.full(len(others), s + at), others)
-                ok = d <= reach + ROOM
-                got.append((np.full(ok.sum(), s + at), others[ok], d[ok]))
-                free[others[d <= limit + ROOM] - s] = False
-            at += 1
+        got += [(i + s, j + s, d) for i, j, d in _wide_links(q[s:e], reach)]
     if not got:
         z = np.zeros(0, int)
         return z, z, np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))  # type: ignore[return-value]
 
 
+def _wide_links(q: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links of one wide bucket: leaders absorb what is within the limit of them, only rows not yet absorbed become leaders.
+
+    A leader is compared with all rows. Rows of two leaders that are not yet joined are compared with each other where the
+    triangle inequality allows a distance within ``reach``: each must be within ``reach`` and a limit of the other's leader.
+    """
+    n, limit = len(q), reach / 1.5
+    owner, got = np.full(n, -1), []
+    near: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(n):
+        if owner[at] >= 0:
+            continue
+        d = distance(q, np.full(n, at), np.arange(n))
+        d[at] = np.inf
+        ok = np.flatnonzero(d <= reach + ROOM)
+        got.append((np.full(len(ok), at), ok, d[ok]))
+        owner[(d <= limit + ROOM) & (owner < 0)] = at
+        owner[at] = at
+        close = np.flatnonzero(d <= reach + limit + 2 * ROOM)
+        near.append((np.full(len(close), at), close))
+    i, j, d = (np.concatenate(x) for x in zip(*got, strict=True))
+    sure = d <= limit + ROOM
+    label = local_labels(n, i[sure], j[sure])
+    lead, row = (np.concatenate(x) for x in zip(*near, strict=True))
+    use = label[lead] != label[row]
+    lead, row = lead[use], row[use]
+    own = owner[row]
+    pair, low = np.minimum(lead, own) * n + np.maximum(lead, own), own < lead
+    left, right = np.flatnonzero(low), np.flatnonzero(~low)
+    right = right[np.argsort(pair[right], kind="stable")]
+    first, after = (np.searchsorted(pair[right], pair[left], side) for side in ("left", "right"))
+    for x, k in pair_chunks(first, after - first, left):
+        a, b = row[x], row[right[k]]
+        d = distance(q, a, b)
+        ok = np.flatnonzero(d <= reach + ROOM)
+        ok = ok[np.lexsort((d[ok], pair[x[ok]]))]
+        ok = ok[np.r_[True, pair[x[ok]][1:] != pair[x[ok]][:-1]]] if len(ok) else ok  # the nearest rows of two leaders tell all
+        got.append((a[ok], b[ok], d[ok]))
+    return got
+
+
 def _merge(limit: float):
     """One round: merge linked leaves of a bucket into the largest (then smallest id); links are rows of kind 1 (sure) and
     2 (to be checked: leaders between 1 and 1.5 limits apart)."""

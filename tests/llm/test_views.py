@@ -90,6 +90,28 @@ def test_clusters_against_all_pairs(spark):
     assert got == components(rows, 0.08)
 
 
+def test_links_do_not_depend_on_the_bucket_size(monkeypatch):
+    def told(q, reach):
+        i, j, d = clusters._links(q, np.array([0]), reach)
+        sure = d <= reach / 1.5 + codes.ROOM
+        label = clusters.local_labels(len(q), i[sure], j[sure])
+        return label.tolist(), {tuple(sorted((label[a], label[b]))) for a, b in zip(i, j, strict=True) if label[a] != label[b]}
+
+    rng = np.random.default_rng(4)
+    for contrast in (25, 32, 40):
+        x = np.clip(128 + contrast * rng.standard_normal((1, 3)) + rng.integers(-60, 61, (500, 3)), 0, 255)
+        q = np.repeat(x, [34, 33, 33], axis=1).astype(np.uint8)[rng.permutation(500)]
+        monkeypatch.setattr(clusters, "WIDE", 500)
+        whole = told(q, 0.03)
+        monkeypatch.setattr(clusters, "WIDE", 8)
+        assert told(q, 0.03) == whole and len(set(whole[0])) > 1
+    # two rows within the limit, each absorbed by another leader, the leaders further apart than the member test reaches
+    base = np.full(100, 100)
+    line = np.stack([base + np.where(np.arange(100) < k, 100, 0) for k in (0, 17, 51, 34)]).astype(np.uint8)
+    monkeypatch.setattr(clusters, "WIDE", 1)
+    assert told(line, 0.12)[0] == [0, 0, 0, 0]
+
+
 def test_groups_have_size_and_typical_members(spark):
     df, rows = fixture(spark, 3)
     sizes = {}
