@@ -416,13 +416,30 @@ def feature_groups(df: DataFrame, record: str, group: str, features: Sequence[st
     return data.join(near, "grp").withColumn("best", best).select("record", "grp", F.col("best.part").alias("part"), F.sqrt("best.d").alias("dist"))
 
 
-def crop_groups(candidates: DataFrame, typical: int = 3, k: int = 4) -> DataFrame:
-    """Crops of each style in at most ``k`` parts of similar risk and disagreement: style, part, size, most typical crops."""
+def crop_groups(candidates: DataFrame, typical: int = 3, k: int = 4, whole: bool = False) -> DataFrame:
+    """Crops of each style in at most ``k`` parts of similar risk and disagreement: style, part, size, most typical crops.
+
+    With ``whole`` each distinct crop is in exactly one part. Rows of one crop give its style and its highest disagreement;
+    crops that lack a feature are grouped by the others in parts of their own, numbered from k on (from 2 k without
+    disagreement, from 3 k without either), and crops without style form the null style. Else such crops are left out.
+    """
     from plumbago.llm.keys import canon_col
 
     slim = candidates.select(canon_col("crop_id").alias("crop"), canon_col("style_id").alias("style"), "risk_score", "disagreement")
+    if whole:
+        known = lambda c: F.when(F.abs(F.col(c).cast("double")) < F.lit(float("inf")), F.col(c).cast("double"))
+        slim = slim.withColumns({"risk_score": known("risk_score"), "disagreement": known("disagreement")})
+        best = F.max(F.struct(F.col("disagreement").isNotNull(), F.col("risk_score").isNotNull(), "disagreement", "risk_score")).alias("best")
+        slim = slim.groupBy("crop").agg(F.min("style").alias("style"), best).select("crop", "style", "best.risk_score", "best.disagreement")
+        lacks = F.col("risk_score").isNull().cast("int") + 2 * F.col("disagreement").isNull().cast("int")
+        style = F.concat_ws("|", lacks.cast("string"), "style")  # without style only the number
+        slim = slim.select("crop", style.alias("style"), F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), F.coalesce("disagreement", F.lit(0.0)).alias("disagreement"))
     placed = feature_groups(slim, "crop", "style", ["risk_score", "disagreement"], k)
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "part").orderBy("dist", "record"))).where(F.col("rank") <= typical)
     top = ranked.groupBy("grp", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "record"))).alias("top"))
     size = placed.groupBy("grp", "part").agg(F.count_distinct("record").alias("size"), F.round(F.avg("dist"), 6).alias("mean_dist"))
-    return size.join(top, ["grp", "part"]).select(F.col("grp").alias("style_id"), "part", "size", "mean_dist", F.transform("top", lambda t: t["record"]).alias("typical"))
+    out = size.join(top, ["grp", "part"])
+    if whole:
+        part = F.substring("grp", 1, 1).cast("int") * k + F.col("part")
+        out = out.withColumns({"part": part, "grp": F.when(F.length("grp") > 1, F.expr("substring(grp, 3)"))})
+    return out.select(F.col("grp").alias("style_id"), "part", "size", "mean_dist", F.transform("top", lambda t: t["record"]).alias("typical"))

@@ -74,7 +74,7 @@ def p5_glyph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_crop_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.crop_groups(table(spark, sf_dir, "review_candidates"))
+    return clusters.crop_groups(table(spark, sf_dir, "review_candidates"), whole=True)
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from plumbago.llm import clusters, codes, overlaps
+from plumbago.llm import clusters, codes, overlaps, queries
 
 SCHEMA = "sample_id string, split_role string, pixel_sha256 string, views array<float>, source_group_id string, source_asset_ids array<string>, gid string, gray int, code int"
 
@@ -151,3 +151,18 @@ def test_crop_groups(spark):
     got = clusters.crop_groups(df, k=2).collect()
     assert sorted(r.size for r in got) == [10, 10] and {r.style_id for r in got} == {"style1"}
     assert clusters.crop_groups(df.limit(0)).count() == 0
+
+
+def test_crop_groups_of_all_crops(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(f"c{k}", "Style-1 " if k % 2 else "style_1", 0.1 if k < 10 else 0.9, 0.2) for k in range(20)]
+    rows += [("x", None, 0.1, 0.1), ("y", "style-1", None, 0.1), ("z", "s2", nan, nan), ("v", "style_1", 0.2, None), ("w", "style 1", 0.2, inf)]
+    rows += [("C-1", "style1", 0.9, 0.9), ("c2", None, 0.1, None), ("c3", "style1", 0.1, None)]  # queued again
+    spark.createDataFrame(rows, "crop_id string, style_id string, risk_score double, disagreement double").write.parquet(f"{tmp_path}/review_candidates.parquet")
+    got = queries.queries()["p5_crop_groups"](spark, str(tmp_path)).collect()
+    assert sum(r["size"] for r in got) == 25
+    style = {}
+    for r in got:
+        style[r.style_id] = style.get(r.style_id, 0) + r["size"]
+    assert style == {"style1": 23, "s2": 1, None: 1}
+    assert {(r.style_id, r.part // 4, tuple(sorted(r.typical))) for r in got if r.part >= 4} == {("style1", 1, ("y",)), ("style1", 2, ("v", "w")), ("s2", 3, ("z",))}
