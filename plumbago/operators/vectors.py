@@ -32,31 +32,82 @@ def class_centres(df: DataFrame, label: str, vector: str) -> DataFrame:
     return packed.select(label, F.lit(0).alias("proto"), unit(F.col("mean")).alias("centre"))
 
 
-def kmeans_centres(df: DataFrame, label: str, vector: str, key: str, most: int = 8, rounds: int = 10) -> DataFrame:
-    """Up to min(most, floor(sqrt n)) unit centres per class by Lloyd rounds over a bounded summary of the class.
+def kmeans_centres(df: DataFrame, label: str, vector: str, key: str, most: int = 8, rounds: int = 10, most_centres: int = 50_000, seeds: int = 128) -> DataFrame:
+    """Up to min(most, floor(sqrt n)) unit centres per class by Lloyd rounds over all vectors of the class.
 
-    A class is summarised per partition by at most 4,096 hashed cells (count and sum), so a group of any size reaches
-    one task as cells only; classes of fewer than four rows get their mean.
+    Every round each partition sums its vectors by nearest centre, so only one sum per partition and centre leaves it; the
+    bank of centres is held by the driver (its size is checked). The first centres are picked greedily, each for the
+    largest fall of the square distances, from the ``seeds`` vectors of a class with the lowest key hashes. Classes of
+    fewer than four rows get their mean.
     """
-    cell = F.pmod(F.xxhash64(key), F.lit(4096))
-    flat = df.select(label, cell.alias("cell"), F.posexplode(unit(F.col(vector))).alias("dim", "value"))
-    sums = flat.groupBy(label, "cell", "dim").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    cells = sums.groupBy(label, "cell").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda e: e["s"]).alias("s"))
-
-    def lloyd(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell")
-        n = pdf["n"].to_numpy(float)
-        x = np.stack(pdf["s"].to_numpy()) / n[:, None]
-        k = min(most, max(1, int(np.sqrt(n.sum()))), len(x)) if n.sum() >= 4 else 1
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(rounds):
-            at = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
-            c = np.stack([np.average(x[at == j], axis=0, weights=n[at == j]) if (at == j).any() else c[j] for j in range(k)])
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({label: pdf[label].iloc[0], "proto": range(k), "centre": list(c)})
-
     kind = dict(df.dtypes)[label]
-    return cells.groupBy(label).applyInPandas(lloyd, f"`{label}` {kind}, proto int, centre array<double>")
+    name = F.to_json(F.struct(F.col(label).alias("l")))  # one string a class, null included
+    units = df.select(name.alias("lab"), F.xxhash64(key).alias("h"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
+    names = {r["lab"]: r["l"] for r in df.select(name.alias("lab"), F.col(label).alias("l")).distinct().limit(most_centres + 1).collect()}
+    if len(names) > most_centres:
+        raise ValueError("the prototype bank is larger than its bound")
+
+    def lowest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = pd.DataFrame({"lab": [], "h": [], "u": []}), {}
+        for pdf in frames:
+            for lab, c in pdf["lab"].value_counts().items():
+                n[lab] = n.get(lab, 0) + c
+            held = pd.concat([held, pdf]) if len(held) else pdf
+            held = held.sort_values("h", kind="stable").groupby("lab").head(seeds)
+        if len(held):
+            yield held.assign(n=held["lab"].map(n).where(~held["lab"].duplicated(), 0))  # the count once a class
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = int(pdf["n"].sum())
+        x = np.stack(pdf.assign(t=pdf["u"].map(tuple)).sort_values(["h", "t"])["u"].head(seeds).to_numpy())
+        k = min(most, max(1, int(np.sqrt(total)))) if total >= 4 else 1
+        gap = 2 - 2 * np.clip(x @ x.T, -1, 1)
+        chosen, left = [0], gap[0]
+        while len(chosen) < k and left.max() > 1e-12:
+            chosen.append(int(np.minimum(gap, left).sum(1).argmin()))
+            left = np.minimum(left, gap[chosen[-1]])
+        return pd.DataFrame({"lab": pdf["lab"].iloc[0], "proto": range(len(chosen)), "c": list(x[chosen])})
+
+    picked = units.mapInPandas(lowest, "lab string, h long, u array<double>, n long")
+    bank: dict[str, np.ndarray] = {}
+    for r in sorted(picked.groupBy("lab").applyInPandas(first, "lab string, proto int, c array<double>").limit(most_centres + 1).collect(), key=lambda r: (r["lab"], r["proto"])):
+        bank.setdefault(r["lab"], []).append(r["c"])  # type: ignore[arg-type]
+    bank = {lab: np.array(c) for lab, c in bank.items()}
+    if sum(map(len, bank.values())) > most_centres:
+        raise ValueError("the prototype bank is larger than its bound")
+
+    def one_round(shared):
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[tuple[str, int], list] = {}
+            for pdf in frames:
+                for lab, own in pdf.groupby("lab"):
+                    x, c = np.stack(own["u"].to_numpy()), shared.value[lab]
+                    at = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+                    for j in np.unique(at):
+                        was = total.setdefault((lab, int(j)), [0, 0.0])
+                        was[0], was[1] = was[0] + int((at == j).sum()), was[1] + x[at == j].sum(0)
+            if total:
+                yield pd.DataFrame({"lab": [k[0] for k in total], "proto": [k[1] for k in total], "n": [v[0] for v in total.values()], "s": [v[1] for v in total.values()]})
+
+        return sums
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.sum(np.stack(pdf["s"].to_numpy()), axis=0) / pdf["n"].sum()
+        return pd.DataFrame({"lab": pdf["lab"].iloc[:1], "proto": pdf["proto"].iloc[:1], "c": [c]})
+
+    for _ in range(rounds if bank else 0):
+        shared = df.sparkSession.sparkContext.broadcast(bank)
+        part = units.select("lab", "u").mapInPandas(one_round(shared), "lab string, proto int, n long, s array<double>")
+        moved = {lab: c.copy() for lab, c in bank.items()}
+        for r in part.groupBy("lab", "proto").applyInPandas(mean, "lab string, proto int, c array<double>").collect():  # at most the bank
+            moved[r["lab"]][r["proto"]] = r["c"]
+        shared.unpersist()
+        still = all(np.abs(moved[lab] - c).max() < 1e-12 for lab, c in bank.items())
+        bank = moved
+        if still:
+            break
+    rows = [(names[lab], j, (v / max(float(np.linalg.norm(v)), 1e-12)).tolist()) for lab, c in bank.items() for j, v in enumerate(c)]
+    return df.sparkSession.createDataFrame(rows, f"`{label}` {kind}, proto int, centre array<double>")
 
 
 def nearest_class(df: DataFrame, key: str, vector: str, centres: DataFrame, label: str, most_centres: int = 50_000) -> DataFrame:

@@ -188,3 +188,16 @@ def test_bootstrap_interval_brackets_the_estimate(spark):
     b = metrics.bootstrap_ap(df, "f", 60).first()
     ap = metrics.ranking_areas(df).first().aucpr
     assert b.low < ap < b.high and b.rounds == 60
+
+
+def test_kmeans_centres_keep_the_clusters_of_large_classes(spark):
+    rng = np.random.default_rng(5)
+    true = np.eye(8)
+    x = true[rng.integers(0, 8, 30_000)] + rng.normal(0, 0.02, (30_000, 8))
+    rows = [(k, "a", v.tolist()) for k, v in enumerate(x)] + [(-1, "few", [1.0] + [0.0] * 7), (-2, "few", [0.0, 1.0] + [0.0] * 6), (-3, None, [0.0] * 7 + [2.0]), (-4, "none", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, l string, v array<double>").repartition(5)
+    got = vectors.kmeans_centres(df, "l", "v", "id").collect()
+    centres = np.array([r.centre for r in got if r.l == "a"])
+    assert centres.shape == (8, 8) and (centres @ true.T).max(0).min() > 0.999
+    assert [np.round(r.centre, 6).tolist() for r in got if r.l == "few"] == [[0.707107, 0.707107] + [0.0] * 6]
+    assert {r.l for r in got} == {"a", "few", None}
