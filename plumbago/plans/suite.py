@@ -334,6 +334,16 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return grouping.hamming_pairs(_codes(spark, d), "sample_id", "code", 3)
 
 
+def _phashes(spark: SparkSession, d: str) -> DataFrame:
+    half = lambda at: F.conv(F.substring("phash", at, 8), 16, 10).cast("long")
+    return views.folds(spark, d).where("phash RLIKE '^[0-9A-Fa-f]{16}$'").select("image_id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("code"))
+
+
+@query()
+def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.hamming_pairs(_phashes(spark, d), "image_id", "code", 10)
+
+
 def _components(spark: SparkSession, d: str) -> DataFrame:
     m = views.images(spark, d).select("image_id", "image_sha256", "source_group_id")
     return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", ["image_sha256", "source_group_id"]))

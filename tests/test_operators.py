@@ -9,6 +9,7 @@ from plumbago.functions import text
 from plumbago.operators import bags, constraints, grouping, images, metrics, queues, sampling, vectors
 from plumbago.operators.blocked import lowest, running_sum
 from plumbago.operators.components import hash_to_min
+from plumbago.plans import suite
 
 
 def scored(spark, rows):
@@ -201,3 +202,9 @@ def test_kmeans_centres_keep_the_clusters_of_large_classes(spark):
     assert centres.shape == (8, 8) and (centres @ true.T).max(0).min() > 0.999
     assert [np.round(r.centre, 6).tolist() for r in got if r.l == "few"] == [[0.707107, 0.707107] + [0.0] * 6]
     assert {r.l for r in got} == {"a", "few", None}
+
+
+def test_phash_pairs_reach_ten_bits(spark, tmp_path):
+    rows = [("a", "00000000000000ff"), ("b", "ffc00000000000ff"), ("c", "ffe00000000000ff"), ("d", "0123456789abcdef"), ("e", None)]
+    spark.createDataFrame([(i, 0, "c", h, "NORMAL", "TEST") for i, h in rows], "image_id string, fold long, component_id string, phash string, image_label string, split_role string").write.parquet(f"{tmp_path}/fold_manifest.parquet")
+    assert {(r.a, r.b, r.distance) for r in suite.queries()["phash_pairs"](spark, str(tmp_path)).collect()} == {("a", "b", 10), ("b", "c", 1)}
