@@ -344,6 +344,26 @@ def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return grouping.hamming_pairs(_phashes(spark, d), "image_id", "code", 10)
 
 
+IDENTITY = ["image_sha256", "product_id", "campaign_id", "template_id", "source_group_id"]
+
+
+def _identity(spark: SparkSession, d: str) -> DataFrame:
+    m = views.images(spark, d).select("image_id", *IDENTITY)
+    near = phash_pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", IDENTITY).unionByName(near))
+
+
+@query()
+def identity_components(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.component_digest(_identity(spark, d), "image_id")
+
+
+@query()
+def identity_leakage(spark: SparkSession, d: str) -> DataFrame:
+    parts = _identity(spark, d).join(views.images(spark, d).select("image_id", "split_role"), "image_id")
+    return grouping.mixed_components(parts, F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)))
+
+
 def _components(spark: SparkSession, d: str) -> DataFrame:
     m = views.images(spark, d).select("image_id", "image_sha256", "source_group_id")
     return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", ["image_sha256", "source_group_id"]))
@@ -368,7 +388,7 @@ def component_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i = views.images(spark, d).select("image_id", F.coalesce(F.col("image_label") == "ABNORMAL", F.lit(False)).alias("abnormal"), F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)).alias("is_locked"))
-    parts = written(_components(spark, d).join(i, "image_id"), "fold-parts")
+    parts = written(_identity(spark, d).join(i, "image_id"), "fold-parts")
     return parts, grouping.balanced_folds(parts, "abnormal", "is_locked")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -208,3 +209,17 @@ def test_phash_pairs_reach_ten_bits(spark, tmp_path):
     rows = [("a", "00000000000000ff"), ("b", "ffc00000000000ff"), ("c", "ffe00000000000ff"), ("d", "0123456789abcdef"), ("e", None)]
     spark.createDataFrame([(i, 0, "c", h, "NORMAL", "TEST") for i, h in rows], "image_id string, fold long, component_id string, phash string, image_label string, split_role string").write.parquet(f"{tmp_path}/fold_manifest.parquet")
     assert {(r.a, r.b, r.distance) for r in suite.queries()["phash_pairs"](spark, str(tmp_path)).collect()} == {("a", "b", 10), ("b", "c", 1)}
+
+
+def test_identity_graph_has_all_fields_and_near_hashes(spark, tmp_path):
+    ids = [f"i{k}" for k in range(12)]
+    own = {c: [f"{c}{k}" for k in range(12)] for c in suite.IDENTITY}
+    for n, c in enumerate(suite.IDENTITY):
+        own[c][2 * n + 1] = own[c][2 * n]  # i0 and i1 share the first field, i2 and i3 the second, ...
+    codes = [int.from_bytes(hashlib.sha256(i.encode()).digest()[:8], "big") for i in ids]
+    codes[11] = codes[10] ^ 0b1001_1111_1111 << 52  # ten bits apart, the highest among them
+    spark.createDataFrame([(i, "DEVELOPMENT", "NORMAL", "s", 1, None, *[own[c][k] for c in suite.IDENTITY]) for k, i in enumerate(ids)], "image_id string, split_role string, image_label string, source_id string, batch_no int, ingested_at timestamp, " + ", ".join(f"{c} string" for c in suite.IDENTITY)).write.parquet(f"{tmp_path}/real_manifest.parquet")
+    spark.createDataFrame([(i, 0, "c", f"{codes[k]:016x}", "NORMAL", "DEVELOPMENT") for k, i in enumerate(ids)], "image_id string, fold long, component_id string, phash string, image_label string, split_role string").write.parquet(f"{tmp_path}/fold_manifest.parquet")
+    assert {(r.a, r.b, r.distance) for r in suite.queries()["phash_pairs"](spark, str(tmp_path)).collect()} == {("i10", "i11", 10)}
+    assert {r.component: r["size"] for r in suite.queries()["identity_components"](spark, str(tmp_path)).collect()} == {"i0": 2, "i2": 2, "i4": 2, "i6": 2, "i8": 2, "i10": 2}
+    assert sorted(r.component for r in suite.queries()["fold_assignment"](spark, str(tmp_path)).collect()) == ["i0", "i10", "i2", "i4", "i6", "i8"]
