@@ -6,7 +6,9 @@ only true pairs leave a task. Buckets above ``hot`` rows are salted: the evaluat
 of that bucket is sent to each salt. Equal pixel hashes are an equi-join.
 
 Recall of the tables: a pair with h different bits of 100 is missed by all with probability about
-(1 - (1 - h/100)^width)^tables; the exact distance decides about every pair that is found.
+(1 - (1 - h/100)^width)^tables; the exact distance decides about every pair that is found. Keys get wider with the
+number of views, so there are more tables then: a pair with up to 7 different bits is missed no more often than with
+10 tables of 14 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ def width_for(rows: int) -> int:
     return max(14, min(30, math.ceil(math.log2(max(rows, 2)))))
 
 
+def tables_for(width: int, least: int = 10, bits: int = 7) -> int:
+    """Tables that miss a pair with up to ``bits`` different bits no more often than ``least`` tables of 14 bits do."""
+    hit = lambda w, h: math.log(1 - (1 - h / 100) ** w)
+    return max(least, *(math.ceil(least * hit(14, h) / hit(width, h) - 1e-9) for h in range(1, bits + 1)))
+
+
 def _keys_of(q: np.ndarray, table_pixels: list[np.ndarray]) -> list[np.ndarray]:
     code = bits(q)
     return [packed(code[:, p]) for p in table_pixels]
@@ -140,10 +148,12 @@ def view_classes(rows: DataFrame) -> DataFrame:
     return rows.where("gray IS NOT NULL AND (is_train OR is_eval)").groupBy("gray").agg(F.bool_or("is_train").alias("in_train"), F.bool_or("is_eval").alias("in_eval")).withColumn("gid", F.xxhash64("gray"))
 
 
-def similar_classes(classes: DataFrame, limit: float, tables: int = 10, width: int | None = None, hot: int = HOT) -> DataFrame:
+def similar_classes(classes: DataFrame, limit: float, tables: int | None = None, width: int | None = None, hot: int = HOT) -> DataFrame:
     """(train_gid, eval_gid, dist) of the different views within ``limit`` of each other."""
     if width is None:
         width = width_for(classes.count())
+    if tables is None:
+        tables = tables_for(width)
     pixels = segments(tables, width)
     heavy = hot_keys(classes, pixels, hot)
     keyed = classes.select("gid", "in_train", "in_eval", "gray").mapInArrow(_keyed(pixels, 16, heavy, limit), KEYED)
@@ -152,7 +162,7 @@ def similar_classes(classes: DataFrame, limit: float, tables: int = 10, width: i
     return grouped.mapInArrow(_compare(limit), "train_gid long, eval_gid long, dist double").groupBy("train_gid", "eval_gid").agg(F.min("dist").alias("dist"))
 
 
-def cross_split_pairs(items: DataFrame, limit: float = 0.02, tables: int = 10, width: int | None = None, hot: int = HOT, evaluation: tuple[str, ...] = ("calibration", "test")) -> DataFrame:
+def cross_split_pairs(items: DataFrame, limit: float = 0.02, tables: int | None = None, width: int | None = None, hot: int = HOT, evaluation: tuple[str, ...] = ("calibration", "test")) -> DataFrame:
     """(train_id, eval_id, dist, by_hash) for every pair of ids in train and evaluation rows that overlap.
 
     A pair has the same pixel hash, or gray views with a mean absolute difference of at most ``limit``. Missing or
@@ -166,7 +176,7 @@ def with_roles(rows: DataFrame, evaluation: tuple[str, ...] = ("calibration", "t
     return rows.withColumns({"is_train": F.coalesce(F.col("role") == "train", F.lit(False)), "is_eval": F.coalesce(F.col("role").isin(*evaluation), F.lit(False))}).where("is_train OR is_eval")
 
 
-def pairs_of(rows: DataFrame, limit: float, tables: int, width: int | None, hot: int) -> DataFrame:
+def pairs_of(rows: DataFrame, limit: float, tables: int | None, width: int | None, hot: int) -> DataFrame:
     by = rows.select("sample_id", "hash", "is_train", "is_eval", F.when(F.col("gray").isNotNull(), F.xxhash64("gray")).alias("gid"))
     hashed = by.where("hash IS NOT NULL").select("hash", "sample_id", "is_train", "is_eval").distinct()
     same = hashed.where("is_train").select("hash", F.col("sample_id").alias("train_id")).join(hashed.where("is_eval").select("hash", F.col("sample_id").alias("eval_id")), "hash").select("train_id", "eval_id", F.lit(None).cast("double").alias("dist"), F.lit(True).alias("by_hash"))
@@ -188,7 +198,7 @@ def overlap_report(items: DataFrame, limit: float = 0.02) -> DataFrame:
     several source assets counts under each; without any, under null.
     """
     rows = written(with_roles(encoded(items)), "overlap-rows")
-    pairs = pairs_of(rows, limit, 10, None, HOT).select(F.col("eval_id").alias("sample_id"), "train_id")
+    pairs = pairs_of(rows, limit, None, None, HOT).select(F.col("eval_id").alias("sample_id"), "train_id")
     source = rows.where("is_eval").select("sample_id", "role", "source_group_id", F.explode_outer("source_asset_ids").alias("asset")).distinct()
     per_record = pairs.groupBy("sample_id").agg(F.count("*").alias("pairs"))
     return per_record.join(source, "sample_id").groupBy("role", "source_group_id", "asset").agg(F.sum("pairs").alias("n_pairs"), F.count_distinct("sample_id").alias("n_records"))

@@ -50,6 +50,15 @@ def test_overlaps_against_all_pairs(spark):
     assert got == want and len(got) > 10
 
 
+def test_recall_bound_does_not_fall_with_wider_keys():
+    def missed(width, h):
+        return (1 - (1 - h / 100) ** width) ** len(codes.segments(overlaps.tables_for(width), width))
+
+    assert overlaps.tables_for(14) == 10
+    for width in range(14, 31):
+        assert all(missed(width, h) <= missed(14, h) * (1 + 1e-6) for h in range(1, 8))
+
+
 def test_hot_buckets_are_salted_without_loss(spark):
     df, _ = fixture(spark, 1)
     plain = {(r.train_id, r.eval_id) for r in overlaps.cross_split_pairs(df).collect()}
