@@ -448,9 +448,21 @@ def embedding_stats(spark: SparkSession, d: str) -> DataFrame:
     return r6(vectors.embedding_statistics(table(spark, d, "embeddings"), "embedding"), "norm_mean", "norm_std", "mean_variance")
 
 
+@query()
+def nearest_class_all(spark: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(spark, d)
+    return r6(vectors.nearest_class(v, "vec_id", "embedding", vectors.class_centres(v, "label", "embedding"), "label"), "distance", "second", "margin")
+
+
+@query()
+def own_class_nn_all(spark: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(spark, d)
+    return r6(vectors.own_class_neighbour(v.where("vec_id % 100 = 0"), v, "vec_id", "label", "embedding"), "distance")
+
+
 @query()
 def kmeans_centers(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.kmeans_centres(views.vectors(spark, d).where("role = 'train'"), "label", "embedding", "vec_id")
+    return vectors.kmeans_centres(views.vectors(spark, d), "label", "embedding", "vec_id")
 
 
 # ---- mining and review ----
@@ -664,7 +676,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def corrupt_bitmaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "glyph_items").where("split_role = 'calibration'").select("sample_id", F.slice("views", 1, 100).alias("views"))
+    rows = table(spark, d, "glyph_items").select("sample_id", F.slice("views", 1, 100).alias("views"))
     return images.corrupted(rows, "sample_id", "views", 10)
 
 

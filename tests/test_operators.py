@@ -223,3 +223,13 @@ def test_identity_graph_has_all_fields_and_near_hashes(spark, tmp_path):
     assert {(r.a, r.b, r.distance) for r in suite.queries()["phash_pairs"](spark, str(tmp_path)).collect()} == {("i10", "i11", 10)}
     assert {r.component: r["size"] for r in suite.queries()["identity_components"](spark, str(tmp_path)).collect()} == {"i0": 2, "i2": 2, "i4": 2, "i6": 2, "i8": 2, "i10": 2}
     assert sorted(r.component for r in suite.queries()["fold_assignment"](spark, str(tmp_path)).collect()) == ["i0", "i10", "i2", "i4", "i6", "i8"]
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    rows = [(f"s{k}", r, [0.0] * 300) for k, r in enumerate(["train", None, " Calibration", "test"])]
+    spark.createDataFrame(rows, "sample_id string, split_role string, views array<float>").write.parquet(f"{tmp_path}/glyph_items.parquet")
+    assert {r.sample_id for r in suite.queries()["corrupt_bitmaps"](spark, str(tmp_path)).select("sample_id").collect()} == {"s0", "s1", "s2", "s3"}
+    spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "a", [1.0, 0.1]), (2, "a", [0.0, 1.0]), (6, "b", [0.0, 1.0])], "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r.vec_id, r.neighbour) for r in suite.queries()["own_class_nn_all"](spark, str(tmp_path)).collect()] == [(0, 1)]
+    assert {r.vec_id for r in suite.queries()["nearest_class_all"](spark, str(tmp_path)).collect()} == {0, 1, 2, 6}
+    assert {r.label for r in suite.queries()["kmeans_centers"](spark, str(tmp_path)).collect()} == {"a", "b"}
