@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbago.operators.blocked import running_sum
+from plumbago.operators.blocked import running_sum, running_sums
 
 Z95 = 1.959963984540054
 #: name, highest false positive rate, least recall
@@ -37,8 +37,7 @@ def score_steps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     group = list(by) or ["__all"]
     steps = steps if by else steps.withColumn("__all", F.lit(1))
     block = (-F.floor(F.least(F.greatest(F.col("score"), F.lit(-1.0)), F.lit(2.0)) * 1024)).cast("int")
-    cum = running_sum(steps, group, block, [F.desc("score")], F.col("p"), "__tp")
-    cum = running_sum(cum, group, block, [F.desc("score")], F.col("n"), "__fp")
+    cum = running_sums(steps, group, block, [F.desc("score")], {"__tp": F.col("p"), "__fp": F.col("n")})
     total = steps.groupBy(*group).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     joined = cum.withColumns({"tp": F.col("__tp") + F.col("p"), "fp": F.col("__fp") + F.col("n")}).drop("__tp", "__fp")
     out = joined.join(F.broadcast(total) if not by else total, group)  # one row without ``by``

@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbago", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,6 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``most`` rows, checked by fetching them; else ``df`` as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
 def dropped(df: DataFrame | None) -> None:
     """Delete the files under a frame made by ``written`` once nothing reads it any more."""
     if df is None:
