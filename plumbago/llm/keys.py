@@ -34,8 +34,11 @@ def _canon_series(values: pd.Series) -> pd.Series:
 
 
 def canon_col(column: Column | str) -> Column:
-    """``canon`` as an Arrow-batched column expression."""
-    return F.pandas_udf(_canon_series, T.StringType())(F.col(column) if isinstance(column, str) else column)
+    """``canon`` as a column: ASCII values in the JVM, the others in Arrow batches (the rest of them is sent as nulls)."""
+    c = F.col(column) if isinstance(column, str) else column
+    plain = ~c.rlike("[^\\x00-\\x7f]")
+    own = F.nullif(F.lower(F.translate(c, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f-_", "")), F.lit(""))
+    return F.when(plain, own).otherwise(F.pandas_udf(_canon_series, T.StringType())(F.when(~plain, c)))
 
 
 def trimmed(column: Column | str) -> Column:

@@ -3,7 +3,8 @@
 Each source has a weight schedule over training time 0..1, piecewise linear, whose integral is its target share; at
 every moment the weights sum to 1. The integral times the total size is the source's cumulative demand. A document
 starts at the cumulative tokens of its source before it; inverting the demand at that point gives its position, and
-sorting by position gives the mix. A source shorter than its demand is repeated, at most max_repeats times.
+sorting by position gives the mix. A source shorter than its demand is repeated, at most max_repeats times; one that
+is still too short gives all it may, and the others share what it lacks.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbago.llm.keys import canon_col
-from plumbago.operators.blocked import running_sum
+from plumbago.operators.blocked import lowest, running_sums
 from plumbago.session import written
 
 KNOTS = 5
 LIMIT_SOURCES = 100_000
+#: How much of the mix scarce sources may miss together when the total is chosen for them.
+SHORT = 0.02
 
 
 def schedules(shares: Mapping[str, float], slopes: Mapping[str, float] | None = None, knots: int = KNOTS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -59,14 +63,86 @@ def supplies(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(held, "source", "left").fillna(0, ["docs", "tokens"])
 
 
-def mixed(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, slopes: Mapping[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+def largest_total(caps: Mapping[str, float], shares: Mapping[str, float], short: float) -> float:
+    """The largest total at which the shares that sources cannot reach (cap < share x total) add up to at most ``short``.
+
+    What is missing at a total T is the sum of max(0, share - cap / T): it grows with T and between two sources that
+    run out it is a - b / T. No total is above what all caps give together.
+    """
+    a = b = 0.0
+    best = 0.0
+    for source in sorted(shares, key=lambda s: (caps[s] / shares[s], s)):
+        start = caps[source] / shares[source]
+        if a - b / max(start, 1e-300) > short:
+            break
+        best = start
+        a, b = a + shares[source], b + caps[source]
+    if a > short:
+        best = max(best, b / (a - short))
+    return min(best, sum(caps.values()))
+
+
+def demands(caps: Mapping[str, float], shares: Mapping[str, float], total: float) -> dict[str, float]:
+    """Tokens of each source: its share of the total, at most its cap; what short sources lack goes to the others in
+    proportion to their shares (water-filling). All caps together bound the total."""
+    out: dict[str, float] = {}
+    rest, weight = min(total, sum(caps.values())), sum(shares.values())
+    for source in sorted(shares, key=lambda s: (caps[s] / shares[s], s)):
+        out[source] = min(caps[source], rest * shares[source] / weight)
+        rest, weight = rest - out[source], weight - shares[source]
+    return out
+
+
+def fill(size: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
+    """How many of ``n`` documents of each size (ascending) to take so that their sizes sum to about ``rest``.
+
+    A systematic sample over all sizes first, so that short and long documents are taken alike; if it is too long,
+    single documents go, and the gap is closed from the longest size that fits down. What stays open is less than the
+    shortest document left, or half of it, as one more is taken if that is nearer.
+    """
+    part = min(rest / max(float((n * size).sum()), 1.0), 1.0)
+    upto = np.floor(np.cumsum(n) * part + 0.5).astype(np.int64)
+    take = np.diff(np.r_[0, upto])
+    gap = rest - float((take * size).sum())
+    while gap < 0 and take.any():
+        used = np.flatnonzero(take)
+        enough = used[size[used] >= -gap]
+        k = enough[0] if len(enough) else used[-1]
+        less = 1 if len(enough) else int(min(take[k], max(-gap // size[k], 1)))
+        take[k] -= less
+        gap += less * size[k]
+    for k in range(len(size) - 1, -1, -1):
+        more = int(min(n[k] - take[k], max(gap, 0) // size[k]))
+        take[k] += more
+        gap -= more * size[k]
+    left = np.flatnonzero(take < n)
+    if len(left) and gap * 2 >= size[left[0]]:
+        take[left[0]] += 1
+    return take
+
+
+def _last_pass(sized: DataFrame, plans: DataFrame) -> DataFrame:
+    """(source, n_tokens, take): ``fill`` for what whole passes over a source leave open, on the counts per source and
+    size (at most one row for each size up to the longest document)."""
+    sizes = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).join(plans.select("source", "rest"), "source")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_tokens", kind="stable")
+        take = fill(pdf["n_tokens"].to_numpy(), pdf["n"].to_numpy(), float(pdf["rest"].iloc[0]))
+        return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "take": take})
+
+    return sizes.groupBy("source").applyInPandas(run, "source string, n_tokens long, take long").where("take > 0")
+
+
+def mixed(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, slopes: Mapping[str, float] | None = None, short: float = SHORT) -> tuple[DataFrame, DataFrame]:
     """(mix, report) of (doc_id, source, n_tokens) rows with n_tokens > 0 and canonical sources.
 
-    Without ``total_tokens`` the total is the largest at which every source that has documents reaches its share, those
-    without any left out and the other shares scaled up; with it, sources that fall short give all their repeats.
-    mix: source, doc_id, copy, n_tokens, position, sorted by position. A copy is taken if its middle lies within the
-    demand, so a source misses its share by at most half a document. Repeated doc_ids count as documents of their
-    own; no matching source gives an empty mix.
+    Without ``total_tokens`` the total is the largest at which the shares that scarce sources cannot reach add up to at
+    most ``short``: it follows the corpus, not its scarcest source. Scarce sources give all their repeats, the report
+    shows by how much they miss, and the others share the rest in proportion. Sources without documents are left out.
+    mix: source, doc_id, copy, n_tokens, position, sorted by position. A source is passed over as a whole as often as its
+    demand allows; the last pass takes documents of all sizes so that it misses the demand by about half of the
+    shortest document left. Repeated doc_ids count as documents of their own; no matching source gives an empty mix.
     """
     spark = sized.sparkSession
     supply = written(supplies(sized, targets), "mix-supply")
@@ -76,28 +152,32 @@ def mixed(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     live = {r.source: r for r in rows if r.tokens > 0 and r.max_repeats > 0}
     whole = sum(r.target_share for r in live.values())
     shares = {s: r.target_share / whole for s, r in live.items()}
-    schema = "source string, share double, demand double, supply long, max_repeats int, weights array<double>, integrals array<double>"
+    caps = {s: float(r.tokens * r.max_repeats) for s, r in live.items()}
+    schema = "source string, demand double, supply long, passes int, rest double, weights array<double>, integrals array<double>"
     plan: list[Sequence] = []
-    total = 0.0
-    if live:
-        most = min(r.tokens * r.max_repeats / shares[s] for s, r in live.items())
-        total = float(most if total_tokens is None else total_tokens)
-        for s, (w, c) in schedules(shares, slopes).items():
-            r = live[s]
-            plan.append((s, shares[s], min(shares[s] * total, float(r.tokens * r.max_repeats)), int(r.tokens), int(r.max_repeats), w.tolist(), c.tolist()))
-    plans = spark.createDataFrame(plan, schema)  # one row a source, bounded by LIMIT_SOURCES
+    wanted = demands(caps, shares, float(total_tokens) if total_tokens is not None else largest_total(caps, shares, short)) if live else {}
+    total = sum(wanted.values())
+    if total > 0:
+        for s, (w, c) in schedules({s: d / total for s, d in wanted.items()}, slopes).items():
+            passes = int(wanted[s] / live[s].tokens + 1e-9)
+            plan.append((s, wanted[s], int(live[s].tokens), passes, max(wanted[s] - passes * live[s].tokens, 0.0), w.tolist(), c.tolist()))
+    plans = F.broadcast(spark.createDataFrame(plan, schema))  # one row a source, bounded by LIMIT_SOURCES
     order = F.xxhash64("doc_id")
-    fit = sized.join(plans, "source").select("source", "doc_id", "n_tokens", order.alias("order"), "demand", "supply", "max_repeats", "weights", "integrals")
-    placed = running_sum(fit, ["source"], F.shiftright("order", 52), [F.col("order"), F.col("doc_id"), F.col("n_tokens")], F.col("n_tokens"), "before")
-    last = F.least(F.col("max_repeats").cast("double"), F.ceil((F.col("demand") - F.col("before")) / F.col("supply"))).cast("int")
-    copies = placed.where(F.col("before") < F.col("demand")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)))))
-    start = F.col("before") + (F.col("copy") - 1) * F.col("supply")
+    fit = sized.select("source", "doc_id", "n_tokens", order.alias("order"), F.concat_ws("|", F.col("n_tokens").cast("string"), "source").alias("cell"))
+    fit = written(fit.join(plans.select("source"), "source", "left_semi").withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("n_tokens"))), "mix-fit")
+    quotas = _last_pass(fit, plans).select(F.concat_ws("|", F.col("n_tokens").cast("string"), "source").alias("cell"), "take")
+    chosen = lowest(fit, "cell", F.shiftright("order", 52), [F.col("order"), F.col("doc_id"), F.col("twin")], quotas, "take")
+    placed = running_sums(chosen, ["source"], F.shiftright("order", 52), [F.col("order"), F.col("doc_id"), F.col("twin")], {"before": F.col("n_tokens"), "before_last": F.when(F.col("chosen"), F.col("n_tokens")).otherwise(0)}).join(plans, "source")
+    passes = F.col("passes") + F.col("chosen").cast("int")
+    copies = placed.where(passes > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), passes)))
+    start = F.when(F.col("copy") <= F.col("passes"), F.col("before") + (F.col("copy") - 1) * F.col("supply")).otherwise(F.col("before_last") + F.col("passes") * F.col("supply"))
     at = inverse(start / F.lit(max(total, 1.0)), F.col("weights"), F.col("integrals"), KNOTS)
-    mix = copies.where(start + F.col("n_tokens") / 2 <= F.col("demand")).select("source", "doc_id", "copy", "n_tokens", at.alias("position"))
+    mix = copies.select("source", "doc_id", "copy", "n_tokens", at.alias("position"))
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("used_copies"), F.max("copy").alias("most_repeats"))
     both = supply.join(used, "source", "left").fillna(0, ["used_tokens", "used_copies", "most_repeats"])
     all_used = both.agg(F.sum("used_tokens").alias("all_used"))
-    report = both.crossJoin(F.broadcast(all_used)).select("source", "target_share", F.round(F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")), 6).alias("actual_share"), "docs", "tokens", "used_tokens", "used_copies", "most_repeats", "max_repeats")
+    report = both.crossJoin(F.broadcast(all_used)).select("source", "target_share", F.round(F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")), 6).alias("actual_share"), "docs", "tokens", "used_tokens", "used_copies", "most_repeats", "max_repeats")  # one row
+    report = report.withColumn("scarce", F.coalesce(F.col("used_tokens") >= F.col("tokens") * F.col("max_repeats"), F.lit(True)))
     return mix.orderBy("position", "source", "doc_id", "copy"), report
 
 
