@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbago.llm.keys import canon, canon_hash
@@ -109,6 +109,37 @@ def segments(tables: int, width: int, pixels: int = PIXELS, seed: int = 7) -> li
     return out[:tables]
 
 
+def blobs(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a uint8 matrix, without a copy for each row."""
+    rows = np.ascontiguousarray(rows, np.uint8)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def blob_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The uint8 matrix of a binary column whose values are all ``width`` bytes long."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def view_ids(views: DataFrame) -> Callable[[str], Column]:
+    """The id of a view as an expression of its column, told apart by all of ``views`` (distinct in ``gray``).
+
+    It is a 64-bit hash; the hashes that two views share, a handful at most below 10^11 views, take a second hash.
+    """
+    shared = [r[0] for r in views.groupBy(F.xxhash64("gray").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h").limit(10_001).collect()]
+    if len(shared) > 10_000:
+        raise ValueError("too many views share a 64-bit hash")
+    plain = lambda c: F.xxhash64(c)
+    return (lambda c: F.when(plain(c).isin(shared), F.xxhash64(c, F.lit("again"))).otherwise(plain(c))) if shared else plain
+
+
+def task_count(spark: SparkSession, rows: int, row_bytes: int, task_bytes: int = 12 << 20, most: int = 50_000) -> int:
+    """Partitions of a shuffle of that size whose tasks do much work a row: about ``task_bytes`` each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, min(most, -(-rows * row_bytes // task_bytes)))
+
+
 def packed(code: np.ndarray) -> np.ndarray:
     """Rows of at most 62 bits as int64."""
     return code.astype(np.int64) @ (np.int64(1) << np.arange(code.shape[1], dtype=np.int64))

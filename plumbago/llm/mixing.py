@@ -93,22 +93,15 @@ def demands(caps: Mapping[str, float], shares: Mapping[str, float], total: float
     return out
 
 
-def fill(size: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
-    """How many of ``n`` documents of each size (ascending) to take so that their sizes sum to about ``rest``.
-
-    A systematic sample over all sizes first, so that short and long documents are taken alike; if it is too long,
-    single documents go, and the gap is closed from the longest size that fits down. What stays open is less than the
-    shortest document left, or half of it, as one more is taken if that is nearer.
-    """
-    part = min(rest / max(float((n * size).sum()), 1.0), 1.0)
-    upto = np.floor(np.cumsum(n) * part + 0.5).astype(np.int64)
-    take = np.diff(np.r_[0, upto])
-    gap = rest - float((take * size).sum())
+def _closed(size: np.ndarray, n: np.ndarray, take: np.ndarray, gap: float, whole: bool) -> tuple[float, np.ndarray]:
+    """``take`` changed to close the gap, and what stays open of it. Documents that are too much go from the longest that
+    is not too long down, or (``whole``) as the shortest one that is long enough; then what fits comes in."""
+    take = take.copy()
     while gap < 0 and take.any():
         used = np.flatnonzero(take)
-        enough = used[size[used] >= -gap]
-        k = enough[0] if len(enough) else used[-1]
-        less = 1 if len(enough) else int(min(take[k], max(-gap // size[k], 1)))
+        fits, enough = used[size[used] <= -gap], used[size[used] >= -gap]
+        k = enough[0] if len(enough) and (whole or not len(fits)) else fits[-1]
+        less = int(min(take[k], max(-gap // size[k], 1)))
         take[k] -= less
         gap += less * size[k]
     for k in range(len(size) - 1, -1, -1):
@@ -118,7 +111,17 @@ def fill(size: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
     left = np.flatnonzero(take < n)
     if len(left) and gap * 2 >= size[left[0]]:
         take[left[0]] += 1
-    return take
+        gap -= size[left[0]]
+    return abs(gap), take
+
+
+def fill(size: np.ndarray, n: np.ndarray, rest: float) -> np.ndarray:
+    """How many of ``n`` documents of each size (ascending) to take so that their sizes sum to about ``rest``: a systematic
+    sample over all sizes, so that short and long documents are taken alike, changed where it misses the sum."""
+    part = min(rest / max(float((n * size).sum()), 1.0), 1.0)
+    take = np.diff(np.r_[0, np.floor(np.cumsum(n) * part + 0.5).astype(np.int64)])
+    gap = rest - float((take * size).sum())
+    return min((_closed(size, n, take, gap, whole) for whole in (True, False)), key=lambda x: x[0])[1]
 
 
 def _last_pass(sized: DataFrame, plans: DataFrame) -> DataFrame:

@@ -65,10 +65,17 @@ def test_hot_buckets_are_salted_without_loss(spark):
     assert {(r.train_id, r.eval_id) for r in overlaps.cross_split_pairs(df, hot=4).collect()} == plain
 
 
-def test_report_counts_per_role_and_asset(spark):
-    df, _ = fixture(spark, extra=EXTRA)
-    rows = overlaps.overlap_report(df).collect()
-    assert {r.asset for r in rows} == {"a", "b"} and all(r.n_pairs >= r.n_records > 0 for r in rows)
+def test_report_counts_every_pair_once(spark):
+    df, rows = fixture(spark, extra=[*EXTRA, *[(f"copy{k}", "train" if k % 2 else "test", f"{k % 3:02d}", np.full(100, 60)) for k in range(9)], ("copy1", "train", "00", np.full(100, 61))])
+    pairs = {(r.train_id, r.eval_id) for r in overlaps.cross_split_pairs(df).collect()}
+    assert ("copy1", "copy6") in pairs
+    role_of = {i: r for i, r, _, _ in rows if r in ("test", "calibration")}
+    want = {}
+    for role in ("test", "calibration"):
+        own = [p for p in pairs if role_of.get(p[1].upper() if p[1] in ("h1",) else p[1], "test") == role]
+        want[role] = (len(own), len({p[1] for p in own}))
+    got = {(r.role, r.asset): (r.n_pairs, r.n_records) for r in overlaps.overlap_report(df).collect()}
+    assert got == {(role, a): n for role, n in want.items() for a in ("a", "b") if n[0]}
 
 
 def components(rows, limit):
