@@ -1,13 +1,15 @@
 """Problem 5: clusters of mutually similar records.
 
-Two uses of mergeable cluster features (n, linear sum, leader row):
+Two uses of mergeable cluster features:
 
-* ``threshold_clusters`` (glyph views): leaves are merged bottom-up in rounds. A round brings leaves with a common
-  similarity-hash key together, merges those whose leader rows are within the limit, and passes on one leaf for them, so
-  the data shrink from round to round. The leaves that are left meet once more in many hash tables at a time. The links
-  of all rounds give the clusters by hash-to-min.
-* ``feature_groups`` (crops by style): leaves of bounded number per partition and group, merged level by level, Ward
-  agglomeration of the leaves, one assignment pass over all records, and the members nearest to each centroid.
+* ``threshold_clusters`` (glyph views): leaves (leader view, radius, members by link). Every partition first builds the
+  leaves of its own rows, then rounds of shuffled hash buckets merge leaves of different partitions: a leaf takes in
+  another one only if all members stay within ``cover`` of its leader, so a chain is never reduced to one row. The leaves
+  that are left meet in many hash tables. Leaders within the limit are linked; leaders further apart, but not by more
+  than the limit and both radii, are tested member by member. The links give the clusters by hash-to-min.
+* ``feature_groups`` (crops by style): cluster-feature leaves (n, linear sum, square sum) by nearest leaf under a radius,
+  a bounded number per partition and group, merged level by level, Ward agglomeration of the leaves, one assignment pass
+  over all records, and the members nearest to each centroid.
 
 Ward's criterion weighs sizes and can neither keep every link under a distance nor refuse one over it, so the clusters
 by a distance limit take the leaves and the exact link test in its place (see the README).
@@ -24,12 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbago.llm.codes import PIXELS, ROOM, binary_matrix, buckets, distance, encoded, flat_cells, packed, pair_chunks
+from plumbago.llm.codes import PIXELS, ROOM, binary_matrix, buckets, distance, encoded, flat_cells, packed, pair_chunks, task_count, view_ids
 from plumbago.operators.components import hash_to_min
 from plumbago.session import dropped, written
 
-LEAF = "kind int, gid long, gray binary, n long, other long"
-WIDE = 192
+#: kind 0: a leaf (gid, gray, r); 1: gid was taken in by the leaf ``other``; 2: leaves to be tested by members; 3: linked.
+LEAF = "kind int, gid long, gray binary, r float, other long"
+BLOCK = 512
+#: Radius of a leaf and of one of low contrast, as parts of the limit.
+COVER, COVER_FLAT = 0.7, 0.25
+#: Chance that one plane does not part two views at the limit (their angle is about 30 degrees at usual contrast).
+SAME_SIDE = 0.833
+TABLES = 28
+
+
+def tables_for(width: int, least: int = 12) -> int:
+    """Tables that miss two leaders at the limit no more often than ``TABLES`` tables of 10 bits do, at any width."""
+    miss = lambda w: math.log(1 - SAME_SIDE**w)
+    return max(least, math.ceil(TABLES * miss(10) / miss(width) - 1e-9))
 
 
 def _planes(seed: int, count: int, pixels: int = PIXELS) -> np.ndarray:
@@ -41,6 +55,11 @@ def _codes(q: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return packed((x - x.mean(1, keepdims=True)) @ planes > 0)
 
 
+def _cells_of(q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Low-contrast leaves and the cell of their mean: leaves of low contrast that may hold a link are neighbours at most."""
+    return flat_cells(q, limit * (1 + 2 * COVER_FLAT))
+
+
 def _keyed(seeds: Sequence[int], width: int, limit: float, flats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = [_planes(s, width) for s in seeds]
@@ -48,207 +67,280 @@ def _keyed(seeds: Sequence[int], width: int, limit: float, flats: bool):
             if not b.num_rows:
                 continue
             q = binary_matrix(b.column("gray"))
-            for seed, p in zip(seeds, planes, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), seed), pa.int32()), pa.array(_codes(q, p)), *b.columns], ["tab", "code", *b.schema.names])
+            for k, p in enumerate(planes):
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k + 1) << 41) | _codes(q, p)), *b.columns], ["key", *b.schema.names])
             if flats:  # low-contrast views also meet by their mean, each in its cell and the next one
-                flat, cell = flat_cells(q, limit)
+                flat, cell = _cells_of(q, limit)
                 at = np.flatnonzero(flat)
                 for shift in (0, 1) if len(at) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), pa.array(cell[at] + shift), *[c.take(pa.array(at)) for c in b.columns]], ["tab", "code", *b.schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[at] + shift), *[c.take(pa.array(at)) for c in b.columns]], ["key", *b.schema.names])
 
     return run
 
 
-def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Component labels (smallest index) of n nodes under edges (i, j)."""
-    label = np.arange(n)
+def local_labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Component labels (smallest index) of n nodes under edges (i, j), on top of the components of ``label``."""
+    label = np.arange(n) if label is None else label
     while len(i):
-        low = np.minimum(label[i], label[j])
         before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
+        low = np.minimum(label[i], label[j])
+        for end in (i, j):
+            np.minimum.at(label, before[end], low)
+            np.minimum.at(label, end, low)
         label = label[label]
         if (label == before).all():
             break
     return label
 
 
-def _links(q: np.ndarray, starts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs within ``reach`` inside the buckets, with their distance.
+def _all_pairs(q: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same bucket with their distance, in bounded pieces."""
+    ends = np.r_[starts[1:], len(q)]
+    rows = np.arange(len(q))
+    last = np.repeat(ends, ends - starts)
+    for i, j in pair_chunks(rows + 1, last - rows - 1, rows):
+        yield i, j, distance(q, i, j)
+
 
-    Small buckets are compared in full. In buckets above WIDE rows only the pairs that tell components apart are given, so
-    the components under ``reach`` x 2/3 (the limit), and which of them have rows within ``reach``, are the same either way.
+def _near_pairs(q: np.ndarray, starts: np.ndarray, r: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of the buckets' rows under the limit, and the pairs of rows of different components that the radii
+    leave open (one, the nearest, for each two components)."""
+    label, maybe = np.arange(len(q)), []
+    for i, j, d in _all_pairs(q, starts):
+        sure = d <= limit + ROOM
+        new = sure & (label[i] != label[j])
+        if new.any():
+            label = local_labels(len(q), i[new], j[new], label)
+        open_ = np.flatnonzero(~sure & (d <= limit + r[i] + r[j] + ROOM))
+        open_ = open_[label[i[open_]] != label[j[open_]]]
+        if len(open_):
+            maybe.append((i[open_], j[open_]))
+    if not maybe:
+        return label, np.zeros(0, int), np.zeros(0, int)
+    i, j = (np.concatenate(x) for x in zip(*maybe, strict=True))
+    apart = label[i] != label[j]
+    return label, i[apart], j[apart]
+
+
+def _taken(i: np.ndarray, j: np.ndarray, d: np.ndarray, r: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which row takes in which: (owner, new radius) of n rows under the pairs (i, j, d) within the limit.
+
+    Rows with many rows in reach come first. A leader takes in the free rows that stay within its cover with all they hold.
+    """
+    n = len(r)
+    owner, radius = np.arange(n), r.copy()
+    u, v, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+    ok = d + r[v] <= np.minimum(cover[u], cover[v])
+    u, v, d = u[ok], v[ok], d[ok]
+    degree = np.bincount(u, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), -degree))] = np.arange(n)
+    free = np.ones(n, bool)
+    while len(u):
+        # free rows that no earlier free row can take in lead now; none of them can take in another
+        best = np.full(n, n)
+        np.minimum.at(best, v, rank[u])
+        now = np.unique(u[rank[u] < best[u]])
+        free[now] = False
+        own = np.zeros(n, bool)
+        own[now] = True
+        got = own[u] & free[v]
+        a, b, c = u[got], v[got], d[got]
+        order = np.lexsort((rank[a], b))
+        a, b, c = a[order], b[order], c[order]
+        first = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
+        a, b, c = a[first], b[first], c[first]
+        owner[b] = a
+        np.maximum.at(radius, a, c + r[b])
+        free[b] = False
+        rest = free[u] & free[v]
+        u, v, d = u[rest], v[rest], d[rest]
+    return owner, radius
+
+
+def contracted(q: np.ndarray, r: np.ndarray, starts: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(owner, radius, links) of rows in buckets; owner[x] = x for the leaves that are left.
+
+    Buckets are worked on in blocks of at most ``BLOCK`` rows; what is left of a bucket's blocks meets in new blocks, as
+    long as that takes in a tenth of it.
     """
     n = len(q)
+    flat = _cells_of(q, limit)[0]
+    cover = np.where(flat, COVER_FLAT, COVER) * limit
+    owner, radius, links = np.arange(n), r.astype(np.float64), []
     ends = np.r_[starts[1:], n]
-    size = ends - starts
-    small = size <= WIDE
-    rows = np.concatenate([np.arange(s, e) for s, e in zip(starts[small], ends[small], strict=True)]) if small.any() else np.zeros(0, int)
-    last = np.repeat(ends[small], size[small])
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, j in pair_chunks(rows + 1, last - rows - 1, rows):
-        d = distance(q, i, j)
-        ok = d <= reach + ROOM
-        got.append((i[ok], j[ok], d[ok]))
-    for s, e in zip(starts[~small], ends[~small], strict=True):
-        got += [(i + s, j + s, d) for i, j, d in _wide_links(q[s:e], reach)]
-    if not got:
-        z = np.zeros(0, int)
-        return z, z, np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True))  # type: ignore[return-value]
-
-
-def _wide_links(q: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links of one wide bucket: leaders absorb what is within the limit of them, only rows not yet absorbed become leaders.
-
-    A leader is compared with all rows. Rows of two leaders that are not yet joined are compared with each other where the
-    triangle inequality allows a distance within ``reach``: each must be within ``reach`` and a limit of the other's leader.
-    """
-    n, limit = len(q), reach / 1.5
-    owner, got = np.full(n, -1), []
-    near: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(n):
-        if owner[at] >= 0:
-            continue
-        d = distance(q, np.full(n, at), np.arange(n))
-        d[at] = np.inf
-        ok = np.flatnonzero(d <= reach + ROOM)
-        got.append((np.full(len(ok), at), ok, d[ok]))
-        owner[(d <= limit + ROOM) & (owner < 0)] = at
-        owner[at] = at
-        close = np.flatnonzero(d <= reach + limit + 2 * ROOM)
-        near.append((np.full(len(close), at), close))
-    i, j, d = (np.concatenate(x) for x in zip(*got, strict=True))
-    sure = d <= limit + ROOM
-    label = local_labels(n, i[sure], j[sure])
-    lead, row = (np.concatenate(x) for x in zip(*near, strict=True))
-    use = label[lead] != label[row]
-    lead, row = lead[use], row[use]
-    own = owner[row]
-    pair, low = np.minimum(lead, own) * n + np.maximum(lead, own), own < lead
-    left, right = np.flatnonzero(low), np.flatnonzero(~low)
-    right = right[np.argsort(pair[right], kind="stable")]
-    first, after = (np.searchsorted(pair[right], pair[left], side) for side in ("left", "right"))
-    for x, k in pair_chunks(first, after - first, left):
-        a, b = row[x], row[right[k]]
-        d = distance(q, a, b)
-        ok = np.flatnonzero(d <= reach + ROOM)
-        ok = ok[np.lexsort((d[ok], pair[x[ok]]))]
-        ok = ok[np.r_[True, pair[x[ok]][1:] != pair[x[ok]][:-1]]] if len(ok) else ok  # the nearest rows of two leaders tell all
-        got.append((a[ok], b[ok], d[ok]))
-    return got
+    bucket = np.repeat(np.arange(len(starts)), ends - starts)
+    at = np.arange(n)
+    while True:
+        place = np.arange(len(at)) - np.searchsorted(bucket[at], bucket[at], "left")
+        cut = np.r_[True, (bucket[at][1:] != bucket[at][:-1]) | (place[1:] % BLOCK == 0)] if len(at) else np.zeros(0, bool)
+        block = np.flatnonzero(cut)
+        found = [(i[ok], j[ok], d[ok]) for i, j, d in _all_pairs(q[at], block) if (ok := d <= limit + ROOM).any()]
+        if not found:
+            break
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        own, rad = _taken(i, j, d, radius[at], cover[at])
+        label = local_labels(len(at), i, j)
+        root = label != np.arange(len(at))
+        links.append((at[np.flatnonzero(root)], at[label[root]]))
+        owner[at] = at[own]
+        radius[at] = rad
+        left = own == np.arange(len(at))
+        wide = np.bincount(bucket[at[left]], minlength=len(starts)) > 0
+        wide &= np.bincount(bucket[at], minlength=len(starts)) > BLOCK
+        few = left.sum() > 0.9 * len(at)
+        at = at[left]
+        at = at[wide[bucket[at]]]
+        if few or not len(at):
+            break
+    return owner, radius, links
 
 
-def _merge(limit: float):
-    """One round: merge linked leaves of a bucket into the largest (then smallest id); links are rows of kind 1 (sure) and
-    2 (to be checked: leaders between 1 and 1.5 limits apart)."""
+def _leaf_rows(kind: np.ndarray, gid: np.ndarray, gray: pa.Array | None, r: np.ndarray | None, other: np.ndarray | None) -> pa.RecordBatch:
+    none = pa.nulls(len(gid))
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(gid, pa.int64()), none.cast(pa.binary()) if gray is None else gray, none.cast(pa.float32()) if r is None else pa.array(np.nextafter(r.astype(np.float32), np.float32(2)) * (r > 0), pa.float32()), none.cast(pa.int64()) if other is None else pa.array(other, pa.int64())], ["kind", "gid", "gray", "r", "other"])
+
+
+def _round(t: pa.Table, starts: np.ndarray, limit: float) -> Iterator[pa.RecordBatch]:
+    q, gid, r = binary_matrix(t["gray"]), t["gid"].to_numpy(), t["r"].to_numpy().astype(np.float64)
+    owner, radius, links = contracted(q, r, starts, limit)
+    while (owner[owner] != owner).any():  # taken in block after block
+        owner = owner[owner]
+    left = np.flatnonzero(owner == np.arange(len(q)))
+    gone = np.flatnonzero(owner != np.arange(len(q)))
+    gray = t["gray"].combine_chunks()
+    yield _leaf_rows(np.zeros(len(left)), gid[left], (gray.combine_chunks() if isinstance(gray, pa.ChunkedArray) else gray).take(pa.array(left)), radius[left], None)
+    yield _leaf_rows(np.ones(len(gone)), gid[gone], None, None, gid[owner[gone]])
+    for a, b in links:
+        more = owner[a] != owner[b]
+        yield _leaf_rows(np.full(more.sum(), 3), gid[owner[a[more]]], None, None, gid[owner[b[more]]])
 
-    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        q, gid, n = binary_matrix(t["gray"]), t["gid"].to_numpy(), t["n"].to_numpy()
-        i, j, d = _links(q, starts, limit * 1.5)
-        sure = d <= limit + ROOM
-        label = local_labels(len(q), i[sure], j[sure])
-        total = np.zeros(len(q), np.int64)
-        np.add.at(total, label, n)
-        order = np.lexsort((gid, -n, label))
-        first = np.r_[True, label[order][1:] != label[order][:-1]]
-        winners = order[first]
-        won = np.zeros(len(q), np.int64)
-        won[label[winners]] = winners
-        winner = won[label]
-        lost = np.flatnonzero(winner != np.arange(len(q)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(winners)), pa.int32()), pa.array(gid[winners]), t["gray"].combine_chunks().take(pa.array(winners)), pa.array(total[label[winners]]), pa.nulls(len(winners), pa.int64())], ["kind", "gid", "gray", "n", "other"])
-        maybe = ~sure & (label[i] != label[j])
-        yield _link_rows(np.r_[gid[lost], gid[i[maybe]]], np.r_[gid[winner[lost]], gid[j[maybe]]], np.r_[np.ones(len(lost)), np.full(maybe.sum(), 2)])
 
+def _merge(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from buckets(batches, ["tab", "code"], work)
+        yield from buckets(batches, ["key"], lambda t, starts: _round(t, starts, limit))
 
     return run
 
 
-def _link_rows(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(a))
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(b, pa.int64())], ["kind", "gid", "gray", "n", "other"])
+def _local(limit: float, width: int, rows: int = 20_000):
+    """The first level, without a shuffle: the leaves of each partition's own views, about ``rows`` of them at a time."""
+
+    def work(held: list[pa.RecordBatch], planes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        q = binary_matrix(t["gray"])
+        flat, cell = _cells_of(q, limit)
+        key = np.where(flat, cell, (np.int64(1) << 41) | _codes(q, planes))
+        order = np.argsort(key, kind="stable")
+        t = t.take(pa.array(order)).combine_chunks().append_column("r", pa.array(np.zeros(len(order), np.float32)))
+        yield from _round(t, np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]), limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes, held, n = _planes(99, width), [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from work(held, planes)
+                held, n = [], 0
+        if n:
+            yield from work(held, planes)
+
+    return run
 
 
 def _last(limit: float):
-    """The last level: links only, one to the bucket's component and the pairs to be checked."""
+    """The last level: links only, one to the bucket's component and the pairs to be tested by members."""
 
     def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         q, gid = binary_matrix(t["gray"]), t["gid"].to_numpy()
-        i, j, d = _links(q, starts, limit * 1.5)
-        sure = d <= limit + ROOM
-        label = local_labels(len(q), i[sure], j[sure])
+        label, i, j = _near_pairs(q, starts, t["r"].to_numpy().astype(np.float64), limit)
         lost = np.flatnonzero(label != np.arange(len(q)))
-        maybe = ~sure & (label[i] != label[j])
-        yield _link_rows(np.r_[gid[lost], gid[i[maybe]]], np.r_[gid[label[lost]], gid[j[maybe]]], np.r_[np.ones(len(lost)), np.full(maybe.sum(), 2)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from buckets(batches, ["tab", "code"], work)
-
-    return run
+        yield _leaf_rows(np.r_[np.full(len(lost), 3), np.full(len(i), 2)], np.r_[gid[lost], np.minimum(gid[i], gid[j])], None, None, np.r_[gid[label[lost]], np.maximum(gid[i], gid[j])])
 
-
-def _near(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                n = b.num_rows
-                q = binary_matrix(pa.concat_arrays([b.column("gray_a"), b.column("gray_b")]))
-                d = distance(q, np.arange(n), np.arange(n, 2 * n))
-                yield pa.RecordBatch.from_arrays([x.filter(pa.array(d <= limit + ROOM)) for x in (b.column("src"), b.column("dst"))], ["src", "dst"])
+        yield from buckets(batches, ["key"], work)
 
     return run
 
 
-def _level(leaves: DataFrame, seeds: Sequence[int], width: int, limit: float, work, flats: bool = False) -> DataFrame:
-    parts = max(int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    keyed = leaves.select("gid", "gray", "n").mapInArrow(_keyed(seeds, width, limit, flats), "tab int, code long, gid long, gray binary, n long")
-    return keyed.repartition(parts, "tab", "code").sortWithinPartitions("tab", "code").mapInArrow(work, LEAF)
+def _level(leaves: DataFrame, rows: int, seeds: Sequence[int], width: int, limit: float, work, flats: bool = False) -> DataFrame:
+    keyed = leaves.select("gid", "gray", "r").mapInArrow(_keyed(seeds, width, limit, flats), "key long, gid long, gray binary, r float")
+    parts = task_count(leaves.sparkSession, rows * len(seeds), 140)
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(work, LEAF)
 
 
-def threshold_clusters(rows: DataFrame, limit: float = 0.08, rounds: int = 4, tables: int = 28) -> DataFrame:
+def threshold_clusters(rows: DataFrame, limit: float = 0.08, rounds: int = 2) -> DataFrame:
     """(sample_id, gray) -> (sample_id, gid, component): components of views joined by distances of at most ``limit``.
 
-    Rows without view belong to none; repeated rows and copies collapse to one view first. ``rounds`` merging levels of one
-    hash table each are followed by one level of ``tables`` tables over the leaves that are left.
+    Rows without view belong to none; repeated rows and copies collapse to one view first. Two leaders at the limit are
+    missed by all tables of the last level with a probability below 1 % at any number of rows; members of two leaves whose
+    leaders are further apart than that are found if the leaders meet, which is less likely the further they are apart.
     """
-    known = rows.where("gray IS NOT NULL AND sample_id IS NOT NULL").withColumn("gid", F.xxhash64("gray"))
-    leaves = written(known.groupBy("gid").agg(F.first("gray").alias("gray")).withColumn("n", F.lit(1).cast("long")), "cluster-views")
-    views, made = leaves, []
-    for r in range(rounds):
+    known = rows.where("gray IS NOT NULL AND sample_id IS NOT NULL")
+    views = written(known.select("gray").distinct(), "cluster-views")
+    gid = view_ids(views)
+    views = views.withColumn("gid", gid("gray"))
+    levels = [written(views.select("gid", "gray").mapInArrow(_local(limit, 10), LEAF), "cluster-level0")]
+    for k in range(rounds):
+        leaves = levels[-1].where("kind = 0")
         n = leaves.count()
-        width = max(8, min(40, round(math.log2(max(n, 2) / 16))))
-        level = written(_level(leaves, [r], width, limit, _merge(limit)), f"cluster-level{r}")
-        made.append(level.where("kind > 0").select("kind", F.col("gid").alias("src"), F.col("other").alias("dst")))
-        leaves = level.where("kind = 0")
+        levels.append(written(_level(leaves, n, [k], max(8, min(40, round(math.log2(max(n, 2) / 16)))), limit, _merge(limit)), f"cluster-level{k + 1}"))
+    leaves = levels[-1].where("kind = 0")
     n = leaves.count()
     width = max(6, min(40, round(math.log2(max(n, 2) / 100))))
-    last = written(_level(leaves, list(range(100, 100 + tables)), width, limit, _last(limit), True).select("kind", F.col("gid").alias("src"), F.col("other").alias("dst")).distinct(), "cluster-last")
-    links = last
-    for m in made:
-        links = links.unionByName(m)
-    links = written(links, "cluster-links")
-    labels = written(hash_to_min(links.where("kind = 1")), "cluster-labels")
-    maybe = _checked(links.where("kind = 2"), labels, views, limit)
-    if maybe is not None:
-        labels = written(hash_to_min(links.where("kind = 1").select("src", "dst").unionByName(maybe)), "cluster-labels")
-    ids = known.select("sample_id", "gid").distinct()
+    last = written(_level(leaves, n, list(range(100, 100 + tables_for(width))), width, limit, _last(limit), True).select("kind", "gid", "other").distinct(), "cluster-last")
+    links = last.where("kind = 3").select(F.col("gid").alias("src"), F.col("other").alias("dst"))
+    for level in levels:
+        links = links.unionByName(level.where("kind IN (1, 3)").select(F.col("gid").alias("src"), F.col("other").alias("dst")))
+    links = written(links.distinct(), "cluster-links")
+    labels = written(hash_to_min(links), "cluster-labels")
+    more = _by_members(last.where("kind = 2").select(F.col("gid").alias("src"), F.col("other").alias("dst")), labels, levels, views, limit)
+    if more is not None:
+        labels = written(hash_to_min(links.unionByName(more)), "cluster-labels")
+    ids = known.select("sample_id", gid("gray").alias("gid")).distinct()
     return ids.join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("sample_id", "gid", F.coalesce("component", "gid").alias("component"))
 
 
-def _checked(maybe: DataFrame, labels: DataFrame, views: DataFrame, limit: float) -> DataFrame | None:
-    """Exact member test of leaf pairs whose leaders are a little over the limit apart: the true links, None if none are open."""
+def _close(limit: float, reach: str | None, keep: Sequence[str]):
+    """Rows whose two views (gray_a, gray_b) are within the limit, plus the radius in the column ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = b.num_rows
+                d = distance(binary_matrix(pa.concat_arrays([b.column("gray_a"), b.column("gray_b")])), np.arange(n), np.arange(n, 2 * n))
+                ok = pa.array(d <= limit + ROOM + (b.column(reach).to_numpy() if reach else 0))
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(ok) for k in keep], list(keep))
+
+    return run
+
+
+def _by_members(open_: DataFrame, labels: DataFrame, levels: Sequence[DataFrame], views: DataFrame, limit: float) -> DataFrame | None:
+    """The true links (src, dst) between the members of leaf pairs whose radii leave it open; None if there are none.
+
+    A member takes part only if it is within the limit and the other leaf's radius of the other leader, so the work is
+    linear in the members of the open leaves but for the few that lie between two of them.
+    """
     of = lambda end, name: labels.select(F.col("node").alias(end), F.col("component").alias(name))
-    open_ = maybe.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left").select(F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = open_.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left").where("coalesce(a, src) <> coalesce(b, dst)").select("src", "dst")
     open_ = written(open_, "cluster-open")
     if open_.isEmpty():
         return None
-    member = views.select("gid", "gray").join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("gid", "gray", F.coalesce("component", "gid").alias("component"))
-    left = open_.join(member.select(F.col("component").alias("a"), F.col("gid").alias("src"), F.col("gray").alias("gray_a")), "a")
-    both = left.join(member.select(F.col("component").alias("b"), F.col("gid").alias("dst"), F.col("gray").alias("gray_b")), "b")
-    return both.select("src", "dst", "gray_a", "gray_b").mapInArrow(_near(limit), "src long, dst long")
+    turned = open_.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ends = open_.select("src").unionByName(turned.select("src")).distinct()
+    inside = ends.select(F.col("src").alias("leaf"), F.col("src").alias("gid"))
+    for level in reversed(levels):
+        taken = level.where("kind = 1").select(F.col("gid").alias("member"), F.col("other").alias("gid"))
+        inside = inside.unionByName(inside.join(taken, "gid").select("leaf", F.col("member").alias("gid")))
+    leader = levels[-1].where("kind = 0").select(F.col("gid").alias("dst"), F.col("gray").alias("gray_b"), "r")
+    member = inside.join(views.select("gid", F.col("gray").alias("gray_a")), "gid").select(F.col("leaf").alias("src"), "gid", "gray_a")
+    sides = open_.unionByName(turned).join(leader, "dst").join(member, "src")
+    near = written(sides.select("src", "dst", "gid", "gray_a", "gray_b", "r").mapInArrow(_close(limit, "r", ["src", "dst", "gid", "gray_a"]), "src long, dst long, gid long, gray_a binary"), "cluster-near")
+    other = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("gid").alias("gid_b"), F.col("gray_a").alias("gray_b"))
+    both = near.where("src < dst").join(other, ["src", "dst"]).select(F.col("gid").alias("src"), F.col("gid_b").alias("dst"), "gray_a", "gray_b")
+    found = written(both.mapInArrow(_close(limit, None, ["src", "dst"]), "src long, dst long"), "cluster-found")
+    return None if found.isEmpty() else found
 
 
 def glyph_clusters(items: DataFrame, limit: float = 0.08) -> DataFrame:
@@ -291,7 +383,8 @@ def glyph_groups(items: DataFrame, limit: float = 0.08, typical: int = 3) -> Dat
     """Each cluster of at least two ids: cluster_id, size, and its most typical members (nearest to the centroid, ties by id)."""
     rows = written(encoded(items, False).select("sample_id", "gray").where("gray IS NOT NULL").distinct(), "cluster-rows")
     parts = threshold_clusters(rows, limit)
-    joined = written(rows.withColumn("gid", F.xxhash64("gray")).join(parts, ["sample_id", "gid"]).select("component", "sample_id", "gray"), "cluster-members")
+    view = rows.select("gray").distinct()
+    joined = written(rows.withColumn("gid", view_ids(view)("gray")).join(parts, ["sample_id", "gid"]).select("component", "sample_id", "gray"), "cluster-members")
     # per-partition features of views hashed by (component, salt), then merged: a component of any size is spread over salts
     parts_n = max(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     partial = joined.repartition(parts_n, "component", F.pmod(F.xxhash64("sample_id"), F.lit(4))).mapInArrow(_sums, "component long, n long, ls binary")
