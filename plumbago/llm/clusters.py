@@ -35,6 +35,9 @@ LEAF = "kind int, gid long, gray binary, r float, other long"
 BLOCK = 512
 #: Radius of a leaf and of one of low contrast, as parts of the limit.
 COVER, COVER_FLAT = 0.7, 0.25
+#: Leaders further apart than so many limits are not tested by members: only two members that both lie at the far ends of
+#: their leaves, in the direction of each other, could be linked then.
+REACH = 2
 #: Chance that one plane does not part two views at the limit (their angle is about 30 degrees at usual contrast).
 SAME_SIDE = 0.833
 TABLES = 28
@@ -111,7 +114,7 @@ def _near_pairs(q: np.ndarray, starts: np.ndarray, r: np.ndarray, limit: float)
         new = sure & (label[i] != label[j])
         if new.any():
             label = local_labels(len(q), i[new], j[new], label)
-        open_ = np.flatnonzero(~sure & (d <= limit + r[i] + r[j] + ROOM))
+        open_ = np.flatnonzero(~sure & (d <= np.minimum(limit + r[i] + r[j], REACH * limit) + ROOM))
         open_ = open_[label[i[open_]] != label[j[open_]]]
         if len(open_):
             maybe.append((i[open_], j[open_]))
@@ -275,7 +278,8 @@ def threshold_clusters(rows: DataFrame, limit: float = 0.08, rounds: int = 2) ->
 
     Rows without view belong to none; repeated rows and copies collapse to one view first. Two leaders at the limit are
     missed by all tables of the last level with a probability below 1 % at any number of rows; members of two leaves whose
-    leaders are further apart than that are found if the leaders meet, which is less likely the further they are apart.
+    leaders are further apart (up to ``REACH`` limits) are found if the leaders meet, which is less likely the further
+    they are apart.
     """
     known = rows.where("gray IS NOT NULL AND sample_id IS NOT NULL")
     views = written(known.select("gray").distinct(), "cluster-views")

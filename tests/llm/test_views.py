@@ -106,26 +106,40 @@ def test_clusters_against_all_pairs(spark):
     assert got == components(rows, 0.08)
 
 
-def test_links_do_not_depend_on_the_bucket_size(monkeypatch):
-    def told(q, reach):
-        i, j, d = clusters._links(q, np.array([0]), reach)
-        sure = d <= reach / 1.5 + codes.ROOM
-        label = clusters.local_labels(len(q), i[sure], j[sure])
-        return label.tolist(), {tuple(sorted((label[a], label[b]))) for a, b in zip(i, j, strict=True) if label[a] != label[b]}
+@pytest.mark.parametrize("count", [184, 204, 304])
+def test_chains_of_low_contrast_views_stay_whole(spark, count):
+    rng = np.random.default_rng(count)
+    rows = []
+    for k in range(count):
+        v = np.full(100, 60 + 20 * (k % 4)) - rng.integers(0, 2, 100) * (k % 3 == 0)  # four levels, neighbours within the limit
+        rows.append((f"f{k:03d}", "train", None, v))
+    df, _ = fixture(spark, groups=0, extra=rows)
+    got = {(r.cluster_id, r.sample_id) for r in clusters.glyph_clusters(df).collect()}
+    assert got == components(rows, 0.08) and len({c for c, _ in got}) == 1
+
 
+def test_leaves_keep_their_cover_and_lose_no_link_inside_a_bucket():
     rng = np.random.default_rng(4)
-    for contrast in (25, 32, 40):
-        x = np.clip(128 + contrast * rng.standard_normal((1, 3)) + rng.integers(-60, 61, (500, 3)), 0, 255)
-        q = np.repeat(x, [34, 33, 33], axis=1).astype(np.uint8)[rng.permutation(500)]
-        monkeypatch.setattr(clusters, "WIDE", 500)
-        whole = told(q, 0.03)
-        monkeypatch.setattr(clusters, "WIDE", 8)
-        assert told(q, 0.03) == whole and len(set(whole[0])) > 1
-    # two rows within the limit, each absorbed by another leader, the leaders further apart than the member test reaches
-    base = np.full(100, 100)
-    line = np.stack([base + np.where(np.arange(100) < k, 100, 0) for k in (0, 17, 51, 34)]).astype(np.uint8)
-    monkeypatch.setattr(clusters, "WIDE", 1)
-    assert told(line, 0.12)[0] == [0, 0, 0, 0]
+    base = rng.integers(40, 200, (6, 100))
+    q = np.concatenate([np.clip(b + rng.integers(-22, 23, (220, 100)), 0, 255) for b in base]).astype(np.uint8)[rng.permutation(1320)]
+    owner, radius, links = clusters.contracted(q, np.zeros(len(q)), np.array([0]), 0.08)
+    while (owner[owner] != owner).any():
+        owner = owner[owner]
+    d = codes.distance(q, np.arange(len(q)), owner)
+    assert (d <= radius[owner] + 1e-9).all() and (radius <= clusters.COVER * 0.08 + 1e-9).all()
+    left = len(set(owner.tolist()))
+    assert left < len(q) / 2
+    i = np.r_[np.arange(len(q)), *[a for a, _ in links]]
+    j = np.r_[owner, *[b for _, b in links]]
+    every = [(a, b) for a, b, x in clusters._all_pairs(q, np.array([0])) for a, b in zip(a[x <= 0.08], b[x <= 0.08], strict=True)]
+    whole = clusters.local_labels(len(q), *np.array(every).T)
+    assert len(set(clusters.local_labels(len(q), i, j).tolist())) == len(set(whole.tolist())) == 6
+
+
+def test_members_are_tested_where_leaders_are_apart():
+    line = np.stack([np.full(100, 100) + np.where(np.arange(100) < k, 100, 0) for k in (0, 12, 60)]).astype(np.uint8)
+    label, i, j = clusters._near_pairs(line[[0, 2]], np.array([0]), np.array([0.05, 0.0]), 0.2)
+    assert label.tolist() == [0, 1] and (i.tolist(), j.tolist()) == ([0], [1])
 
 
 def test_groups_have_size_and_typical_members(spark):
