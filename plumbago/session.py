@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -74,6 +75,12 @@ def dropped(df: DataFrame | None) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> str:
     """Zip this package and send it to the executors of a cluster that has no shared PYTHONPATH."""
     root = Path(__file__).resolve().parent
