@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbago.llm.codes import PIXELS, ROOM, binary_matrix, buckets, distance, encoded, flat_cells, packed, pair_chunks, task_count, view_ids
 from plumbago.operators.components import hash_to_min
-from plumbago.session import dropped, written
+from plumbago.session import released, written
 
 #: kind 0: a leaf (gid, gray, r); 1: gid was taken in by the leaf ``other``; 2: leaves to be tested by members; 3: linked.
 LEAF = "kind int, gid long, gray binary, r float, other long"
@@ -41,9 +41,11 @@ REACH = 2
 #: Chance that one plane does not part two views at the limit (their angle is about 30 degrees at usual contrast).
 SAME_SIDE = 0.833
 TABLES = 28
+#: Tables worked on at a time: bounds the disk the shuffles take, however many tables there are.
+PASS = 14
 
 
-def tables_for(width: int, least: int = 12) -> int:
+def tables_for(width: int, least: int = TABLES) -> int:
     """Tables that miss two leaders at the limit no more often than ``TABLES`` tables of 10 bits do, at any width."""
     miss = lambda w: math.log(1 - SAME_SIDE**w)
     return max(least, math.ceil(TABLES * miss(10) / miss(width) - 1e-9))
@@ -293,17 +295,41 @@ def threshold_clusters(rows: DataFrame, limit: float = 0.08, rounds: int = 2) ->
     leaves = levels[-1].where("kind = 0")
     n = leaves.count()
     width = max(6, min(40, round(math.log2(max(n, 2) / 100))))
-    last = written(_level(leaves, n, list(range(100, 100 + tables_for(width))), width, limit, _last(limit), True).select("kind", "gid", "other").distinct(), "cluster-last")
-    links = last.where("kind = 3").select(F.col("gid").alias("src"), F.col("other").alias("dst"))
-    for level in levels:
-        links = links.unionByName(level.where("kind IN (1, 3)").select(F.col("gid").alias("src"), F.col("other").alias("dst")))
-    links = written(links.distinct(), "cluster-links")
+    last = None
+    for at in range(0, tables_for(width), PASS):
+        seeds = list(range(100 + at, 100 + min(at + PASS, tables_for(width))))
+        one = written(_level(leaves, n, seeds, width, limit, _last(limit), at == 0).select("kind", F.col("gid").alias("src"), F.col("other").alias("dst")).distinct(), "cluster-last")
+        last = one if last is None else last.unionByName(one)
+        released(views.sparkSession)
+    links = None
+    for level in levels:  # the ends of a link are followed to the leaves that are left
+        links = level.where("kind = 3").select(F.col("gid").alias("src"), F.col("other").alias("dst")).unionByName(_moved(links, level)) if links is not None else level.where("kind = 3").select(F.col("gid").alias("src"), F.col("other").alias("dst"))
+    links = written(links.unionByName(last.where("kind = 3").select("src", "dst")).where("src <> dst").distinct(), "cluster-links")
+    held = None
+    for level in reversed(levels):
+        taken = level.where("kind = 1").select("gid", F.col("other").alias("leaf"))
+        if held is not None:
+            further = held.select(F.col("gid").alias("leaf"), F.col("leaf").alias("__top"))
+            taken = taken.join(further, "leaf", "left").select("gid", F.coalesce("__top", "leaf").alias("leaf")).unionByName(held)
+        held = taken
+    held = written(held, "cluster-held")
     labels = written(hash_to_min(links), "cluster-labels")
-    more = _by_members(last.where("kind = 2").select(F.col("gid").alias("src"), F.col("other").alias("dst")), labels, levels, views, limit)
+    more = _by_members(last.where("kind = 2").select("src", "dst").distinct(), labels, held, leaves, views, limit)
     if more is not None:
+        ends = held.withColumnRenamed("gid", "src")
+        more = more.join(ends, "src", "left").select(F.coalesce("leaf", "src").alias("src"), "dst")
+        more = more.join(held.withColumnRenamed("gid", "dst"), "dst", "left").select("src", F.coalesce("leaf", "dst").alias("dst"))
         labels = written(hash_to_min(links.unionByName(more)), "cluster-labels")
-    ids = known.select("sample_id", gid("gray").alias("gid")).distinct()
-    return ids.join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("sample_id", "gid", F.coalesce("component", "gid").alias("component"))
+    ids = known.select("sample_id", gid("gray").alias("gid")).distinct().join(held, "gid", "left").select("sample_id", "gid", F.coalesce("leaf", "gid").alias("leaf"))
+    return ids.join(labels.withColumnRenamed("node", "leaf"), "leaf", "left").select("sample_id", "gid", F.coalesce("component", "leaf").alias("component"))
+
+
+def _moved(links: DataFrame, level: DataFrame) -> DataFrame:
+    """Links between leaves of the level before as links between the leaves of ``level`` that hold them."""
+    taken = level.where("kind = 1")
+    for end in ("src", "dst"):
+        links = links.join(taken.select(F.col("gid").alias(end), F.col("other").alias("__top")), end, "left").withColumn(end, F.coalesce("__top", end)).drop("__top")
+    return links.select("src", "dst")
 
 
 def _close(limit: float, reach: str | None, keep: Sequence[str]):
@@ -320,7 +346,7 @@ def _close(limit: float, reach: str | None, keep: Sequence[str]):
     return run
 
 
-def _by_members(open_: DataFrame, labels: DataFrame, levels: Sequence[DataFrame], views: DataFrame, limit: float) -> DataFrame | None:
+def _by_members(open_: DataFrame, labels: DataFrame, held: DataFrame, leaves: DataFrame, views: DataFrame, limit: float) -> DataFrame | None:
     """The true links (src, dst) between the members of leaf pairs whose radii leave it open; None if there are none.
 
     A member takes part only if it is within the limit and the other leaf's radius of the other leader, so the work is
@@ -333,11 +359,8 @@ def _by_members(open_: DataFrame, labels: DataFrame, levels: Sequence[DataFrame]
         return None
     turned = open_.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ends = open_.select("src").unionByName(turned.select("src")).distinct()
-    inside = ends.select(F.col("src").alias("leaf"), F.col("src").alias("gid"))
-    for level in reversed(levels):
-        taken = level.where("kind = 1").select(F.col("gid").alias("member"), F.col("other").alias("gid"))
-        inside = inside.unionByName(inside.join(taken, "gid").select("leaf", F.col("member").alias("gid")))
-    leader = levels[-1].where("kind = 0").select(F.col("gid").alias("dst"), F.col("gray").alias("gray_b"), "r")
+    inside = ends.select(F.col("src").alias("leaf"), F.col("src").alias("gid")).unionByName(held.join(ends.withColumnRenamed("src", "leaf"), "leaf", "left_semi").select("leaf", "gid"))
+    leader = leaves.select(F.col("gid").alias("dst"), F.col("gray").alias("gray_b"), "r")
     member = inside.join(views.select("gid", F.col("gray").alias("gray_a")), "gid").select(F.col("leaf").alias("src"), "gid", "gray_a")
     sides = open_.unionByName(turned).join(leader, "dst").join(member, "src")
     near = written(sides.select("src", "dst", "gid", "gray_a", "gray_b", "r").mapInArrow(_close(limit, "r", ["src", "dst", "gid", "gray_a"]), "src long, dst long, gid long, gray_a binary"), "cluster-near")
