@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,11 @@ def nested_pairs(df: DataFrame, fold: str, k: int) -> DataFrame:
     return j.groupBy("outer_fold", "scoring_fold", "excluded").agg(F.sum(F.when(~F.array_contains("excluded", F.col("f")), F.col("n")).otherwise(0)).alias("training"))
 
 
-def pooled_scores(images: DataFrame, crops: DataFrame, key: str, attention: str, risk: str, scale: float = 1.0, context: float = 0.0, empty: float = -2.0) -> DataFrame:
+def pooled_scores(images: DataFrame, crops: DataFrame, key: str, risk: str, attention: float = 0.0, scale: float = 1.0, context: float = 0.0, empty: float = -2.0) -> DataFrame:
     """One score per image: sigmoid(context + softplus(scale) x (attended + highest risk) / 2); images without crops get
-    sigmoid(empty). Attention weights are the softmax of sigmoid(attention) x risk, as sums of exponentials: no bag is
+    sigmoid(empty). Attention weights are the softmax of sigmoid(attention) x risk, ``attention`` a number, as sums of exponentials: no bag is
     ever collected, and one with a third of all crops is combined map-side."""
-    w = F.exp(sigmoid(F.col(attention)) * F.col(risk))  # at most e: no overflow for risks in 0..1
+    w = F.exp(F.lit(1 / (1 + math.exp(-attention))) * F.col(risk))  # at most e: no overflow for risks in 0..1
     pooled = crops.where(F.col(risk).isNotNull() & ~F.isnan(risk)).groupBy(key).agg(F.count("*").alias("characters"), F.sum(w).alias("w"), F.sum(w * F.col(risk)).alias("wr"), F.max(risk).alias("top"))
     logit = F.lit(context) + F.log1p(F.exp(F.lit(scale))) * 0.5 * (F.col("wr") / F.col("w") + F.col("top"))
     j = images.select(key).distinct().join(pooled, key, "left")

@@ -23,7 +23,7 @@ def running_sums(df: DataFrame, group: Sequence[str], block: Column, order: Sequ
     """
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in group]
     own = {f"__value_{n}": c for n, c in values.items()}
-    keyed = df.withColumns({"__block": block, "__group": F.concat_ws("\1", *keys), **own})
+    keyed = df.withColumns({"__block": block, "__group": F.concat_ws("\1", F.lit("g"), *keys), **own})
     totals = keyed.groupBy("__group", "__block").agg(*[F.sum(f"__value_{n}").alias(f"__total_{n}") for n in values])
     before = Window.partitionBy("__group").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__group", "__block", *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__offset_{n}") for n in values])

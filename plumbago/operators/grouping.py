@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+import math
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbago.operators.blocked import running_sum
 from plumbago.operators.components import hash_to_min
+from plumbago.session import written
 
 
 def equality_edges(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -22,31 +25,51 @@ def equality_edges(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame
     return long.join(low, ["col", "value"]).where("src <> dst").select("src", "dst").distinct()
 
 
-def band_keys(code: Column, bits: int, bands: int) -> Column:
-    """Array of (band, key) of a long: ``bands`` runs of bits, the first ones a bit longer if they don't divide evenly."""
-    width, extra, at, parts = bits // bands, bits % bands, 0, []
-    for b in range(bands):
-        w = width + (b < extra)
-        parts.append(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)).alias("value")))
+def segment_keys(code: Column, bits: int, count: int, spread: int = 0) -> Column:
+    """Array of (segment, value) of a long cut into ``count`` runs of bits (the first ones a bit longer if they don't divide
+    evenly), each also with every way of up to ``spread`` of its bits turned."""
+    at, parts = 0, []
+    for k in range(count):
+        w = bits // count + (k < bits % count)
+        own = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1))
+        masks = [sum(1 << x for x in c) for t in range(spread + 1) for c in itertools.combinations(range(w), t)]
+        parts.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), _turned(k, own)))
         at += w
-    return F.array(*parts)
+    return F.flatten(F.array(*parts))
 
 
-def hamming_pairs(df: DataFrame, key: str, code: str, radius: int = 10, bits: int = 64) -> DataFrame:
-    """All pairs (a < b, distance) of distinct codes within ``radius``: radius + 1 bands, of which a pair must share one.
+def _turned(segment: int, own: Column):
+    return lambda mask: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(mask).alias("value"))
 
-    Exact for any radius below ``bits``. Rows of equal code are first reduced to the smallest key and linked to it by
-    distance 0 (a star, not all pairs).
+
+def segment_count(rows: int, bits: int, radius: int, most_probes: int = 2000) -> int:
+    """How many segments make the fewest probes and candidates a row: with m of them, codes within the radius agree in one up
+    to radius // m bits, so longer segments need more probes but meet fewer chance partners."""
+
+    def cost(m: int) -> float:
+        probes = m * sum(math.comb(-(-bits // m), t) for t in range(radius // m + 1))
+        return math.inf if probes > most_probes else probes * (1 + rows / 2 ** (bits / m))
+
+    return min(range(2, radius + 2), key=cost) if radius else 1
+
+
+def hamming_pairs(df: DataFrame, key: str, code: str, radius: int = 10, bits: int = 64, segments: int | None = None) -> DataFrame:
+    """All pairs (a < b, distance) of distinct codes within ``radius``, exactly, for any radius below ``bits``.
+
+    Codes are cut into segments; two codes within the radius agree in one segment up to radius // segments bits, so one
+    side looks up all such neighbours of each segment. The number of segments follows the number of codes. Rows of equal
+    code are first reduced to the smallest key and linked to it by distance 0 (a star, not all pairs).
     """
     if not 0 <= radius < bits:
         raise ValueError("radius must be at least 0 and below the number of bits")
     rows = df.where(F.col(key).isNotNull() & F.col(code).isNotNull()).select(F.col(key).alias("id"), F.col(code).alias("code"))
-    reps = rows.groupBy("code").agg(F.min("id").alias("rep"))
+    reps = written(rows.groupBy("code").agg(F.min("id").alias("rep")), "hamming-codes")
     same = rows.join(reps, "code").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct()
-    keyed = reps.select("rep", "code", F.explode(band_keys(F.col("code"), bits, radius + 1)).alias("k")).select("rep", "code", "k.*")
-    other = keyed.select(F.col("rep").alias("b"), F.col("code").alias("code_b"), "band", "value")
-    near = keyed.withColumnRenamed("rep", "a").join(other, ["band", "value"]).where(F.col("a") < F.col("b"))
-    near = near.withColumn("distance", F.bit_count(F.col("code").bitwiseXOR(F.col("code_b")))).where(F.col("distance") <= radius)
+    m = segments or segment_count(reps.count(), bits, radius)
+    asked = reps.select(F.col("rep").alias("a"), F.col("code").alias("code_a"), F.explode(segment_keys(F.col("code"), bits, m, radius // m)).alias("k")).select("a", "code_a", "k.*")
+    own = reps.select(F.col("rep").alias("b"), F.col("code").alias("code_b"), F.explode(segment_keys(F.col("code"), bits, m)).alias("k")).select("b", "code_b", "k.*")
+    gap = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
+    near = asked.join(own, ["segment", "value"]).where(F.col("a") < F.col("b")).withColumn("distance", gap).where(F.col("distance") <= radius)
     return near.select("a", "b", "distance").distinct().unionByName(same)
 
 
@@ -72,33 +95,47 @@ def mixed_components(parts: DataFrame, role: Column) -> DataFrame:
     return g.where("locked > 0 AND open > 0")
 
 
-def balanced_folds(parts: DataFrame, label: str, locked: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """(component, fold): greedy balance of label counts; components with a locked row get -1.
-
-    Components are reduced to (size, label counts) by an aggregate. Most of them share the same few counts, and the greedy
-    order is sequential by definition, so the assignment runs over one sorted group holding one small row a component.
+def shared_out(load: list[list[int]], whole: Sequence[int], item: Sequence[int], n: int) -> list[int]:
+    """How many of ``n`` equal items each fold takes when each goes where its labels weigh least (then the least loaded, then
+    the first fold); ``load`` is changed. Adding an item raises a fold's cost by the same step, so the items fill the
+    costs to a level; only the last few are placed one by one."""
+    k = len(load)
+    used = [x for x, c in enumerate(item) if c]
+    step = sum(item[x] / whole[x] for x in used)
+    base = [sum(load[f][x] / whole[x] for x in used) for f in range(k)]
+    low, high = min(base), max(base) + step * (n + 1)
+    for _ in range(200 if n > 4 * k else 0):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(max(0, math.floor((level - b) / step)) for b in base) <= n - k else (low, level)
+    take = [max(0, math.floor((low - b) / step)) for b in base] if n > 4 * k else [0] * k
+    for f in range(k):
+        load[f] = [was + take[f] * c for was, c in zip(load[f], item, strict=True)]
+    for _ in range(n - sum(take)):
+        best = min(range(k), key=lambda f: (round(sum((load[f][x] + item[x]) / whole[x] for x in used), 12), sum(load[f]), f))
+        load[best] = [was + c for was, c in zip(load[best], item, strict=True)]
+        take[best] += 1
+    return take
+
+
+def balanced_folds(parts: DataFrame, label: str, locked: str, k: int = 5, seed: int = 0, most_kinds: int = 100_000) -> DataFrame:
+    """(component, fold): label counts balanced over folds; components with a locked row get -1.
+
+    Components are placed from large to small, of one size those with more positives first. Those with the same counts are
+    one kind, whose quotas come from ``shared_out`` on the driver (the number of kinds is checked); within a kind the
+    components take the folds by blocked ranks of their hash, so no task holds all of them.
     """
-    counts = parts.groupBy("component").agg(F.count("*").alias("size"), F.bool_or(locked).alias("is_locked"), F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
+    counts = parts.groupBy("component").agg(F.bool_or(locked).alias("is_locked"), F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
+    counts = written(counts.withColumn("order", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")), 256)), "fold-components")
     fixed = counts.where("is_locked").select("component", F.lit(-1).alias("fold"))
-    free = counts.where("NOT is_locked").withColumn("order", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")), 256))
-
-    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True)
-        if not len(pdf):
-            return
-        pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
-        whole = {"pos": max(int(pdf["pos"].sum()), 1), "neg": max(int(pdf["neg"].sum()), 1)}
-        load = [{"pos": 0, "neg": 0, "all": 0} for _ in range(k)]
-        out = []
-        for pos, neg, size in zip(pdf["pos"], pdf["neg"], pdf["size"], strict=True):
-            own = {"pos": pos, "neg": neg}
-            costs = [(sum((load[f][n] + c) / whole[n] for n, c in own.items() if c), load[f]["all"], f) for f in range(k)]
-            best = min(costs)[2]
-            load[best]["pos"] += pos
-            load[best]["neg"] += neg
-            load[best]["all"] += size
-            out.append(best)
-        yield pd.DataFrame({"component": pdf["component"].to_numpy(), "fold": out})
-
-    kind = dict(parts.dtypes)["component"]
-    return free.select("component", "size", "pos", "neg", "order").repartition(1).mapInPandas(greedy, f"component {kind}, fold int").unionByName(fixed)
+    free = counts.where("NOT is_locked")
+    kinds = free.groupBy("pos", "neg").agg(F.count("*").alias("n")).limit(most_kinds + 1).collect()
+    if len(kinds) > most_kinds:
+        raise ValueError("more kinds of components than the driver takes")
+    whole = [max(1, sum(r["pos"] * r["n"] for r in kinds)), max(1, sum(r["neg"] * r["n"] for r in kinds))]
+    load, plan = [[0, 0] for _ in range(k)], []
+    for r in sorted(kinds, key=lambda r: (-(r["pos"] + r["neg"]), -r["pos"])):
+        plan.append((r["pos"], r["neg"], list(itertools.accumulate(shared_out(load, whole, (r["pos"], r["neg"]), r["n"])))))
+    ends = F.broadcast(parts.sparkSession.createDataFrame(plan, "pos long, neg long, ends array<long>"))  # one row a kind
+    ranked = running_sum(free, ["pos", "neg"], F.conv(F.substring("order", 1, 4), 16, 10).cast("int"), [F.col("order"), F.col("component")], F.lit(1), "rank")
+    fold = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    return ranked.join(ends, ["pos", "neg"]).select("component", fold.cast("int").alias("fold")).unionByName(fixed)

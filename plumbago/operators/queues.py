@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,52 +64,54 @@ def greedy_suppression(df: DataFrame, key: str, rank: str, groups: Sequence[str]
 def interleaved(df: DataFrame, key: str, rank: str, buckets: str, caps: Mapping[str, int], limit: int, order: Sequence[str] = REASONS) -> DataFrame:
     """Round-robin over reason buckets with caps: (key, queue_rank, bucket).
 
-    Turns are sequential by definition, so the candidates' keys, ranks, buckets and cap columns (not whole rows) go to one
-    task: run it on candidates already reduced by suppression and a rank cut. A capped row uses up its bucket's turn; caps
-    count chosen rows only.
+    A row stands in each of its buckets in rank order; buckets take turns in ``order``, a row is handled once, a row over
+    a cap uses up its bucket's turn, caps count chosen rows only. Turns depend on each other, so they are taken one by
+    one, but only over the head of each bucket: a line ends where the queue is full, and where the heads turn out too
+    short (caps used them up) they are fetched again four times as long.
     """
-    kinds = dict(df.dtypes)
-    slim = df.select(F.col(key).alias("key"), F.col(rank).alias("rank"), F.col(buckets).alias("buckets"), *[F.col(c).cast("string").alias(c) for c in caps])
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True)
-        if not len(pdf):
-            return
-        pdf = pdf.sort_values(["rank", "key"], kind="stable")
-        rows = pdf.to_dict("records")
-        lines = {b: [r for r in rows if b in set(r["buckets"])] for b in order}
-        at = dict.fromkeys(order, 0)
-        handled: set = set()
-        used: dict[str, Counter] = {c: Counter() for c in caps}
-        out = []
-        while len(out) < limit:
-            moved = False
-            for b in order:
-                line = lines[b]
-                while at[b] < len(line) and line[at[b]]["key"] in handled:
-                    at[b] += 1
-                if at[b] >= len(line) or len(out) >= limit:
-                    continue
-                row = line[at[b]]
-                handled.add(row["key"])
-                moved = True
-                if any(row[c] is not None and used[c][row[c]] >= cap for c, cap in caps.items()):
-                    continue
+    slim = df.select(F.col(key).alias("key"), F.col(rank).alias("rank"), F.explode(F.array_distinct(F.col(buckets))).alias("bucket"), *[F.col(c).cast("string").alias(c) for c in caps]).where(F.col("bucket").isin(*order))
+    kind, head = dict(df.dtypes)[key], 2 * limit
+    while True:
+        heads = [slim.where(F.col("bucket") == b).orderBy("rank", "key").limit(head).collect() for b in order]
+        chosen, short = _turns(heads, list(order), caps, limit, head)
+        if not short:
+            return df.sparkSession.createDataFrame(chosen, f"`{key}` {kind}, queue_rank int, bucket string")
+        head *= 4
+
+
+def _turns(heads: Sequence[Sequence], names: Sequence[str], caps: Mapping[str, int], limit: int, head: int) -> tuple[list[tuple], bool]:
+    """The queue from the heads of the buckets, and whether a cut head ran out before the queue was full."""
+    lines = [iter(h) for h in heads]
+    used = {c: Counter() for c in caps}
+    done: set = set()
+    chosen: list[tuple] = []
+    live = list(range(len(names)))
+    while live and len(chosen) < limit:
+        for k in tuple(live):
+            row = next((r for r in lines[k] if r["key"] not in done), None)
+            if row is None:
+                if len(heads[k]) == head:
+                    return chosen, True
+                live.remove(k)
+                continue
+            done.add(row["key"])
+            if all(row[c] is None or used[c][row[c]] < most for c, most in caps.items()):
                 for c in caps:
                     used[c][row[c]] += 1
-                out.append((row["key"], len(out) + 1, b))
-            if not moved:
-                break
-        yield pd.DataFrame(out, columns=["key", "queue_rank", "bucket"])
-
-    got = slim.repartition(1).mapInPandas(walk, f"key {kinds[key]}, queue_rank int, bucket string")
-    return got.withColumnRenamed("key", key)
+                chosen.append((row["key"], len(chosen) + 1, names[k]))
+                if len(chosen) == limit:
+                    break
+    return chosen, False
 
 
 def merge_labels(previous: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(merged, conflicts): new rows are inserted if absent; rows that are there with other fields are conflicts."""
-    j = new.join(previous.select(key, *[F.col(f).alias(f"__p_{f}") for f in fields]), key)
-    differs = F.lit(False)
-    for f in fields:
-        differs = differs | ~F.col(f).eqNullSafe(F.col(f"__p_{f}"))
-    return previous.unionByName(new.join(previous.select(key), key, "left_anti")), j.where(differs).select(key)
+    """(merged, conflicts): new keys are inserted; a key whose new rows differ in ``fields``, among themselves or from the
+    accepted row, is a conflict and changes nothing. Equal new rows count once (the smallest of the other columns)."""
+    told = F.struct(*fields)
+    rest = [c for c in previous.columns if c != key and c not in fields]
+    g = new.groupBy(key).agg(F.min(told).alias("__lo"), F.max(told).alias("__hi"), F.min(F.struct(*fields, *rest)).alias("__row"))
+    j = g.join(previous.select(key, told.alias("__was"), F.lit(True).alias("__known")), key, "left")
+    same = F.col("__lo").eqNullSafe(F.col("__hi"))
+    conflict = ~same | (F.col("__known").isNotNull() & ~F.col("__lo").eqNullSafe(F.col("__was")))
+    fresh = j.where(same & F.col("__known").isNull()).select(key, *[F.col("__row")[c].alias(c) for c in [*fields, *rest]])
+    return previous.unionByName(fresh), j.where(conflict).select(key)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbago.operators.blocked import lowest
+from plumbago.operators.blocked import lowest, running_sum
 
 
 def seeded(seed: int | str, *parts: Column) -> Column:
@@ -77,3 +77,40 @@ def bounded_retry(slots: DataFrame, attempts: int, accept: Column) -> DataFrame:
 def quota_accounting(done: DataFrame, by: Sequence[str]) -> DataFrame:
     g = done.groupBy(*by).agg(F.count("*").alias("expected"), F.count("accepted").alias("actual"), F.sum("tries").alias("attempts"))
     return g.withColumns({"skipped": F.col("expected") - F.col("actual"), "complete": F.col("expected") == F.col("actual")})
+
+
+def numbered(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
+    """A seeded shuffle: every row's place 0.. in the order of the hash of (seed, key), ranked by blocks."""
+    h = df.withColumn("__h", seeded(seed, F.col(key)))
+    return running_sum(h, [], F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), [F.col("__h"), F.col(key)], F.lit(1), name).withColumn(name, F.col(name).cast("long")).drop("__h")
+
+
+def random_batches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """(key, batch, place): consecutive batches of a seeded shuffle; the last one may be short."""
+    return numbered(df.select(key), key, seed).select(key, F.expr(f"position div {size}").alias("batch"), (F.col("position") % size).cast("int").alias("place"))
+
+
+def composed_batches(pairs: DataFrame, others: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """(batch, slot, kind, a, b): batches of size / 4 pairs and size / 2 other rows, as many as the longer side needs; the
+    shorter side starts again (its place is the slot's number modulo its length). An empty side gives no batches.
+
+    pairs: (a, b); others: (key). Slots are computed from ranges and joined by place, nothing is cycled on the driver.
+    """
+    spark = pairs.sparkSession
+    p = numbered(pairs.select("a", "b").withColumn("__k", F.concat_ws("|", "a", "b")), "__k", seed + 1, "at").drop("__k")
+    o = numbered(others.select(F.col(key).alias("a")), "a", seed + 2, "at").withColumn("b", F.lit(None).cast(dict(others.dtypes)[key]))
+    sides = (("pair", p, pairs.count(), size // 4), ("other", o, others.count(), size // 2))
+    if not all(n for _, _, n, _ in sides):
+        return p.selectExpr("at AS batch", "0 AS slot", "'pair' AS kind", "a", "b").limit(0)
+    batches = max(-(-n // slots) for _, _, n, slots in sides)
+    out = None
+    for kind, rows, n, slots in sides:
+        at = spark.range(batches * slots).select(F.expr(f"id div {slots}").alias("batch"), (F.col("id") % slots).cast("int").alias("slot"), (F.col("id") % n).alias("at"))
+        one = at.join(rows, "at").select("batch", "slot", F.lit(kind).alias("kind"), "a", "b")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def zipped(left: DataFrame, right: DataFrame, position: str) -> DataFrame:
+    """Rows side by side by their position; a position on one side only is an error row (null there), never shifted."""
+    return left.join(right, position, "full_outer")

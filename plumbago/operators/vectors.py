@@ -150,18 +150,53 @@ def nearest_class(df: DataFrame, key: str, vector: str, centres: DataFrame, labe
     return got.select(F.col("key").alias(key), "nearest", "distance", "second", (F.col("second") - F.col("distance")).alias("margin"))
 
 
-def own_class_neighbour(queries: DataFrame, references: DataFrame, key: str, label: str, vector: str, block: int = 2000) -> DataFrame:
-    """(key, neighbour, distance): nearest reference of the same class, the smaller key on ties.
+def own_class_neighbour(queries: DataFrame, references: DataFrame, key: str, label: str, vector: str, block: int = 4096) -> DataFrame:
+    """(key, neighbour, distance): nearest reference of the same class by cosine distance, the smaller key on ties.
 
     References of a class are cut into blocks by hash so that a large class is spread over tasks; each query visits all
-    blocks of its class and the partial minima are merged.
+    blocks of its class. A block is multiplied as a matrix in Arrow batches, only the best of each block leaves it.
     """
-    per_class = references.groupBy(label).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    refs = references.select(label, F.col(key).alias("ref"), unit(F.col(vector)).alias("rv")).where("rv IS NOT NULL").join(per_class, label).withColumn("block", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.select(F.col(key).alias("q"), label, unit(F.col(vector)).alias("qv")).where("qv IS NOT NULL").join(per_class, label).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = asked.join(refs, [label, "block"]).where("q <> ref").select("q", "ref", (1 - dot(F.col("qv"), F.col("rv"))).alias("d"))
-    best = pairs.groupBy("q").agg(F.min(F.struct(F.round("d", 12).alias("d"), "ref")).alias("b"))
-    return best.select(F.col("q").alias(key), F.col("b.ref").alias("neighbour"), F.col("b.d").alias("distance"))
+    kinds = dict(references.dtypes)
+    per_class = references.groupBy(F.col(label).alias("lab")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    side = lambda df, asked: df.select(F.col(label).alias("lab"), F.col(key).alias("key"), unit(F.col(vector)).alias("u"), F.lit(asked).alias("asked")).where("u IS NOT NULL").join(per_class, "lab")
+    refs = side(references, False).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    asked = side(queries, True).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[~pdf["asked"]].sort_values("key", kind="stable")
+        out = []
+        if len(own):
+            m, ids = np.stack(own["u"].to_numpy()), own["key"].to_numpy()
+            ask = pdf[pdf["asked"]]
+            for at in range(0, len(ask), 1024):
+                part = ask.iloc[at : at + 1024]
+                d = np.round(1 - np.stack(part["u"].to_numpy()) @ m.T, 12)
+                d[part["key"].to_numpy()[:, None] == ids[None]] = np.inf
+                k = d.argmin(1)
+                ok = np.isfinite(d[np.arange(len(k)), k])
+                out.append(pd.DataFrame({"q": part["key"].to_numpy()[ok], "ref": ids[k[ok]], "d": d[np.arange(len(k)), k][ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "ref": [], "d": []})
+
+    pairs = refs.unionByName(asked).groupBy("lab", "block").applyInPandas(best, f"q {kinds[key]}, ref {kinds[key]}, d double")
+    low = pairs.groupBy("q").agg(F.min(F.struct("d", "ref")).alias("b"))
+    return low.select(F.col("q").alias(key), F.col("b.ref").alias("neighbour"), F.col("b.d").alias("distance"))
+
+
+def own_centre_distance(df: DataFrame, centres: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """(key, centre_distance): cosine distance to the nearest centre of the vector's own class; none, none. The bank is
+    one row a prototype; AQE broadcasts it where it is small."""
+    bank = centres.select(F.col(label).alias("__l"), F.col("centre").alias("__c"))
+    j = df.select(key, label, unit(F.col(vector)).alias("__u")).join(bank, F.col(label) == F.col("__l"))
+    return j.groupBy(key).agg(F.min(1 - dot(F.col("__u"), F.col("__c"))).alias("centre_distance"))
+
+
+def embedding_drift(before: DataFrame, after: DataFrame, key: str, vector: str, least_variance: float = 1e-4) -> DataFrame:
+    """Rows on both sides, mean and largest cosine distance between the two vectors of a key, and whether the later ones
+    have collapsed (mean variance over dimensions below the bound). One row."""
+    j = before.select(key, unit(F.col(vector)).alias("a")).join(after.select(key, unit(F.col(vector)).alias("b")), key)
+    drift = j.agg(F.count("*").alias("rows"), F.avg(1 - dot(F.col("a"), F.col("b"))).alias("drift_mean"), F.max(1 - dot(F.col("a"), F.col("b"))).alias("drift_max"))
+    spread = after.select(F.posexplode(vector).alias("dim", "value")).groupBy("dim").agg(F.var_pop(F.col("value").cast("double")).alias("v")).agg((F.avg("v") < least_variance).alias("collapsed"))
+    return drift.crossJoin(F.broadcast(spread))  # one row each
 
 
 def embedding_statistics(df: DataFrame, vector: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbago.functions import text
 from plumbago.operators import bags, constraints, grouping, images, metrics, queues, sampling, vectors
 from plumbago.plans import views
-from plumbago.plans.views import ctes
+from plumbago.plans.views import canon_sql, ctes
 from plumbago.session import table, written
 from plumbago.streaming import progress
 
@@ -127,7 +127,8 @@ def base_rate_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("p50"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"))
+    got = metrics.percentiles(table(spark, d, "events"), "event_type", "value", [0.5, 0.95])
+    return got.select("event_type", "n", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))
 
 
 @query("""SELECT model_id, bool_and(risk_score IS NOT NULL AND NOT isnan(risk_score)) AS all_scored, bool_or(risk_score > 1 AND NOT isnan(risk_score)) AS any_over,
@@ -191,9 +192,13 @@ def coverage_check(spark: SparkSession, d: str) -> DataFrame:
     return constraints.same_keys(table(spark, d, "real_manifest"), table(spark, d, "fold_manifest"), "image_id")
 
 
-@query("SELECT 'disjoint' AS \"constraint\", pixel_sha256 AS key, string_agg(DISTINCT split_role, ',' ORDER BY split_role) AS detail FROM glyph_items WHERE pixel_sha256 IS NOT NULL AND split_role IS NOT NULL GROUP BY pixel_sha256 HAVING count(DISTINCT split_role) > 1")
+_PIXELS = f"nullif(regexp_replace({canon_sql('pixel_sha256')}, '^(sha256[:=]?|0x)', ''), '')"
+
+
+@query(f"SELECT 'disjoint' AS \"constraint\", h AS key, string_agg(DISTINCT r, ',' ORDER BY r) AS detail FROM (SELECT {_PIXELS} AS h, {canon_sql('split_role')} AS r FROM glyph_items) t WHERE h IS NOT NULL AND r IS NOT NULL GROUP BY h HAVING count(DISTINCT r) > 1")
 def overlap_check(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.disjoint(table(spark, d, "glyph_items"), "pixel_sha256", "split_role")
+    rows = table(spark, d, "glyph_items").select(text.canon_digest("pixel_sha256").alias("h"), text.canon_col("split_role").alias("r"))
+    return constraints.disjoint(rows, "h", "r")
 
 
 @query("SELECT 'determines' AS \"constraint\", source_group_id AS key, CAST(count(DISTINCT split_role) AS VARCHAR) AS detail FROM real_manifest GROUP BY source_group_id HAVING count(DISTINCT split_role) > 1")
@@ -233,6 +238,58 @@ def glyph_violations(spark: SparkSession, d: str) -> DataFrame:
     return constraints.conditions(table(spark, d, "glyph_items").select("sample_id", "decision", "changed_pixels", "training_eligible", "split_role"), "sample_id", rules)
 
 
+@query("""SELECT 'finite_range' AS "constraint", crop_id AS key, CASE WHEN risk_score IS NULL THEN 'null' WHEN isnan(risk_score) THEN 'nan' WHEN isinf(risk_score) THEN 'infinite' ELSE 'outside' END AS detail FROM crop_scores WHERE risk_score IS NULL OR isnan(risk_score) OR NOT risk_score BETWEEN 0 AND 1""")
+def range_violations(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.finite_range(table(spark, d, "crop_scores"), "crop_id", "risk_score", 0.0, 1.0)
+
+
+@query(ctes("images", "scores") + """SELECT 'counts_match' AS "constraint", coalesce(a.image_id, e.image_id) AS key, coalesce(a.n, 0) || ' of ' || coalesce(e.n, 0) AS detail FROM (SELECT image_id, count(*) n FROM scores WHERE image_id IS NOT NULL GROUP BY image_id) a
+ FULL JOIN (SELECT image_id, coalesce(len(characters), 0) n FROM images) e ON a.image_id = e.image_id WHERE coalesce(a.n, 0) <> coalesce(e.n, 0)""")
+def denominator_check(spark: SparkSession, d: str) -> DataFrame:
+    have = views.scores(spark, d).where("image_id IS NOT NULL").groupBy("image_id").agg(F.count("*").alias("n"))
+    want = views.images(spark, d).select("image_id", F.when(F.col("characters").isNull(), 0).otherwise(F.size("characters")).cast("long").alias("n"))
+    return constraints.counts_match(have, want, ["image_id"])
+
+
+@query(f"SELECT 'unapproved' AS \"constraint\", s AS key, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT {canon_sql('source_id')} AS s, production_allowed FROM real_manifest) t WHERE NOT coalesce(production_allowed, false) GROUP BY s")
+def licence_gate(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.unapproved(table(spark, d, "real_manifest").select(text.canon_col("source_id").alias("s"), "production_allowed"), "s", "production_allowed")
+
+
+@query("SELECT 'rank_sequence' AS \"constraint\", queue_version AS key, concat_ws('|', count(*), count(DISTINCT priority_rank), min(priority_rank), max(priority_rank)) AS detail FROM review_candidates GROUP BY queue_version HAVING NOT coalesce(count(*) = count(DISTINCT priority_rank) AND min(priority_rank) = 1 AND max(priority_rank) = count(*), false)")
+def queue_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.rank_sequence(table(spark, d, "review_candidates"), "queue_version", "priority_rank")
+
+
+_BLOCKS = "SELECT g, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM (SELECT g, b, count(*) AS n, sha256(string_agg(v, chr(10) ORDER BY k, v)) AS h FROM (SELECT *, substr(sha256(k), 1, 2) AS b FROM r) x GROUP BY g, b) y GROUP BY g"
+
+
+@query("WITH r AS (SELECT queue_version AS g, crop_id AS k, sha256(crop_id || chr(0) || coalesce(CAST(priority_rank AS VARCHAR), '') || chr(0) || coalesce(style_id, '')) AS v FROM review_candidates WHERE crop_id IS NOT NULL) SELECT g AS queue_version, n, digest FROM (" + _BLOCKS + ") z")
+def queue_digests(spark: SparkSession, d: str) -> DataFrame:
+    row = F.sha2(F.concat_ws("\0", "crop_id", F.coalesce(F.col("priority_rank").cast("string"), F.lit("")), F.coalesce("style_id", F.lit(""))), 256)
+    rows = table(spark, d, "review_candidates").where("crop_id IS NOT NULL").select("queue_version", "crop_id", row.alias("v"))
+    return constraints.block_digest(rows, "queue_version", "crop_id", "v")
+
+
+@query(ctes("images", "folds") + """SELECT 'merged_maps' AS "constraint", image_id AS key, coalesce(min(image_label), 'null') || '|' || max(image_label) AS detail FROM (SELECT image_id, image_label FROM images UNION ALL SELECT image_id, image_label FROM folds) t GROUP BY image_id HAVING count(DISTINCT image_label) + (count(*) > count(image_label))::INTEGER > 1""")
+def label_map_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.merged_maps([views.images(spark, d), views.folds(spark, d)], "image_id", "image_label")[1]
+
+
+@query("""SELECT DISTINCT model_id, parent_checkpoint_sha256 AS parent FROM crop_scores WHERE parent_checkpoint_sha256 IS NOT NULL AND parent_checkpoint_sha256 NOT IN (SELECT checkpoint_sha256 FROM crop_scores WHERE checkpoint_sha256 IS NOT NULL)""")
+def lineage_breaks(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "crop_scores").select("model_id", "checkpoint_sha256", F.col("parent_checkpoint_sha256").alias("parent")).distinct()
+    return progress.lineage_breaks(m, "checkpoint_sha256", "parent").select("model_id", "parent").distinct()
+
+
+@query(ctes("images")[:-1] + f""", g AS (SELECT {canon_sql('source_id')} AS source, count(*) AS n, count(*) FILTER (production_allowed) AS k FROM images GROUP BY 1), w AS (SELECT *, k / n::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM g)
+ SELECT source, n, k, round(p, 6) AS share, round(greatest(0, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS low, round(least(1, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n)), 6) AS high FROM w""")
+def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
+    g = views.images(spark, d).groupBy(text.canon_col("source_id").alias("source")).agg(F.count("*").alias("n"), F.count_if("production_allowed").alias("k"))
+    low, high = metrics.wilson(F.col("k"), F.col("n"))
+    return r6(g.select("source", "n", "k", (F.col("k") / F.col("n")).alias("share"), low.alias("low"), high.alias("high")), "share", "low", "high")
+
+
 # ---- filters, joins, sets ----
 
 ELIGIBLE = "training_eligible AND split_role IN ('DEV', 'IMAGE_ONLY', 'NORMAL_REPLAY')"
@@ -307,12 +364,12 @@ def nested_fold_pairs(spark: SparkSession, d: str) -> DataFrame:
     return bags.nested_pairs(views.scores(spark, d), "fold", 5)
 
 
-POOL = "SELECT i.image_id, coalesce(characters, 0) AS characters, round(1 / (1 + exp(-coalesce(ln(1 + exp(1.0)) * 0.5 * (wr / w + top), -2.0))), 6) AS score FROM (SELECT DISTINCT image_id FROM images) i LEFT JOIN (SELECT image_id, count(*) characters, sum(exp(1 / (1 + exp(-risk_score)) * risk_score)) w, sum(exp(1 / (1 + exp(-risk_score)) * risk_score) * risk_score) wr, max(risk_score) top FROM scores GROUP BY image_id) p ON i.image_id = p.image_id"
+POOL = "SELECT i.image_id, coalesce(characters, 0) AS characters, round(1 / (1 + exp(-coalesce(ln(1 + exp(1.0)) * 0.5 * (wr / w + top), -2.0))), 6) AS score FROM (SELECT DISTINCT image_id FROM images) i LEFT JOIN (SELECT image_id, count(*) characters, sum(exp(1 / (1 + exp(-0.7)) * risk_score)) w, sum(exp(1 / (1 + exp(-0.7)) * risk_score) * risk_score) wr, max(risk_score) top FROM scores GROUP BY image_id) p ON i.image_id = p.image_id"
 
 
 @query(ctes("images", "scores") + POOL)
 def mil_score(spark: SparkSession, d: str) -> DataFrame:
-    return r6(bags.pooled_scores(views.images(spark, d), views.scores(spark, d), "image_id", "risk_score", "risk_score"), "score")
+    return r6(bags.pooled_scores(views.images(spark, d), views.scores(spark, d), "image_id", "risk_score", 0.7), "score")
 
 
 @query(ctes("scores") + "SELECT image_id, crop_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY risk_score DESC, crop_id) rn FROM scores) t WHERE rn = 1")
@@ -323,24 +380,17 @@ def attention_top1(spark: SparkSession, d: str) -> DataFrame:
 # ---- identity graph ----
 
 
-def _codes(spark: SparkSession, d: str) -> DataFrame:
-    code = "aggregate(transform(slice(views, 1, 64), (v, i) -> if(v > 0.5, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    return table(spark, d, "glyph_items").where("views IS NOT NULL").select("sample_id", F.expr(code).alias("code"))
-
-
-@query("""WITH c AS (SELECT DISTINCT sample_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN views[i] > 0.5 THEN 1::HUGEINT << (i - 1) ELSE 0 END))::UBIGINT AS code FROM glyph_items WHERE views IS NOT NULL), r AS (SELECT code, min(sample_id) rep FROM c GROUP BY code)
- SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM r x JOIN r y ON x.rep < y.rep AND bit_count(xor(x.code, y.code)) <= 3 UNION ALL SELECT r.rep, c.sample_id, 0 FROM c JOIN r USING (code) WHERE c.sample_id <> r.rep""")
-def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.hamming_pairs(_codes(spark, d), "sample_id", "code", 3)
-
-
 def _phashes(spark: SparkSession, d: str) -> DataFrame:
     half = lambda at: F.conv(F.substring("phash", at, 8), 16, 10).cast("long")
     return views.folds(spark, d).where("phash RLIKE '^[0-9A-Fa-f]{16}$'").select("image_id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("code"))
 
 
-@query()
-def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
+HAMMING = """, hc AS (SELECT image_id, CAST('0x' || phash AS UBIGINT) AS code FROM folds WHERE regexp_full_match(phash, '[0-9A-Fa-f]{16}')), hr AS (SELECT code, min(image_id) rep FROM hc GROUP BY code),
+ hp AS (SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM hr x JOIN hr y ON x.rep < y.rep AND bit_count(xor(x.code, y.code)) <= 10 UNION ALL SELECT hr.rep, hc.image_id, 0 FROM hc JOIN hr USING (code) WHERE hc.image_id <> hr.rep) """
+
+
+@query(ctes("folds")[:-1] + HAMMING + "SELECT a, b, distance FROM hp")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return grouping.hamming_pairs(_phashes(spark, d), "image_id", "code", 10)
 
 
@@ -349,71 +399,101 @@ IDENTITY = ["image_sha256", "product_id", "campaign_id", "template_id", "source_
 
 def _identity(spark: SparkSession, d: str) -> DataFrame:
     m = views.images(spark, d).select("image_id", *IDENTITY)
-    near = phash_pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    near = hamming_pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", IDENTITY).unionByName(near))
 
 
-@query()
-def identity_components(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.component_digest(_identity(spark, d), "image_id")
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    m = views.images(spark, d).select("image_id", "image_sha256", "source_group_id")
+    return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", ["image_sha256", "source_group_id"]))
 
 
-@query()
-def identity_leakage(spark: SparkSession, d: str) -> DataFrame:
-    parts = _identity(spark, d).join(views.images(spark, d).select("image_id", "split_role"), "image_id")
-    return grouping.mixed_components(parts, F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)))
+def _component_sql(columns: list[str], near: bool) -> str:
+    values = " UNION ALL ".join(f"SELECT image_id, '{c}:' || {c} AS val FROM images WHERE {c} IS NOT NULL" for c in columns)
+    return ctes("images", "folds")[:-1] + (HAMMING[:-1] if near else "") + f""", v AS ({values}), lo AS (SELECT val, min(image_id) m FROM v GROUP BY val),
+ e AS (SELECT DISTINCT m AS a, image_id AS b FROM v JOIN lo USING (val) WHERE m <> image_id{" UNION SELECT a, b FROM hp" if near else ""}), ee AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ nodes AS (SELECT image_id AS id FROM images UNION SELECT a FROM ee), cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT u.id, min(v.comp) FROM recurring.cc AS u JOIN ee ON ee.b = u.id JOIN cc AS v ON v.id = ee.a WHERE v.comp < u.comp GROUP BY u.id)),
+ comp AS (SELECT i.image_id, cc.comp AS component FROM images i JOIN cc ON i.image_id = cc.id) """
 
 
-def _components(spark: SparkSession, d: str) -> DataFrame:
-    m = views.images(spark, d).select("image_id", "image_sha256", "source_group_id")
-    return grouping.component_ids(m, "image_id", grouping.equality_edges(m, "image_id", ["image_sha256", "source_group_id"]))
+COMPONENTS, GROUPS = _component_sql(IDENTITY, True), _component_sql(["image_sha256", "source_group_id"], False)
+DIGESTS = "SELECT component, count(*) AS size, substr(sha256(string_agg(image_id, chr(0) ORDER BY image_id)), 1, 16) AS digest FROM comp GROUP BY component"
+LEAKAGE = "SELECT component, count(*) FILTER (coalesce(split_role = 'LOCKED_TEST', false)) AS locked, count(*) FILTER (NOT coalesce(split_role = 'LOCKED_TEST', false)) AS open FROM comp JOIN images USING (image_id) GROUP BY component HAVING count(*) FILTER (coalesce(split_role = 'LOCKED_TEST', false)) > 0 AND count(*) FILTER (NOT coalesce(split_role = 'LOCKED_TEST', false)) > 0"
 
 
-COMPONENTS = ctes("images")[:-1] + """, v AS (SELECT image_id, 's' || image_sha256 AS val FROM images WHERE image_sha256 IS NOT NULL UNION ALL SELECT image_id, 'g' || source_group_id FROM images WHERE source_group_id IS NOT NULL),
- lo AS (SELECT val, min(image_id) m FROM v GROUP BY val), e AS (SELECT DISTINCT m AS a, image_id AS b FROM v JOIN lo USING (val) WHERE m <> image_id),
- ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(a, b) AS (SELECT image_id, image_id FROM images UNION SELECT r.a, ee.b FROM reach r JOIN ee ON r.b = ee.a),
- comp AS (SELECT a AS image_id, min(b) AS component FROM reach GROUP BY a) """
+@query(COMPONENTS + DIGESTS)
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.component_digest(_identity(spark, d), "image_id")
 
 
-@query(COMPONENTS + "SELECT component, count(*) AS size, substr(sha256(string_agg(image_id, chr(0) ORDER BY image_id)), 1, 16) AS digest FROM comp GROUP BY component")
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.component_digest(_components(spark, d), "image_id")
+@query(GROUPS + DIGESTS)
+def group_components(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.component_digest(_groups(spark, d), "image_id")
+
 
+def _leakage(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
+    j = parts.join(views.images(spark, d).select("image_id", "split_role"), "image_id")
+    return grouping.mixed_components(j, F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)))
 
-@query(COMPONENTS + "SELECT component, count(*) FILTER (coalesce(split_role = 'LOCKED_TEST', false)) AS locked, count(*) FILTER (NOT coalesce(split_role = 'LOCKED_TEST', false)) AS open FROM comp JOIN images USING (image_id) GROUP BY component HAVING count(*) FILTER (coalesce(split_role = 'LOCKED_TEST', false)) > 0 AND count(*) FILTER (NOT coalesce(split_role = 'LOCKED_TEST', false)) > 0")
+
+@query(COMPONENTS + LEAKAGE)
 def component_leakage(spark: SparkSession, d: str) -> DataFrame:
-    parts = _components(spark, d).join(views.images(spark, d).select("image_id", "split_role"), "image_id")
-    return grouping.mixed_components(parts, F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)))
+    return _leakage(spark, d, _identity(spark, d))
+
+
+@query(GROUPS + LEAKAGE)
+def group_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return _leakage(spark, d, _groups(spark, d))
+
 
+#: The placing one by one, as a recursion over the components in order.
+FOLDS = """, k AS (SELECT component, bool_or(coalesce(split_role = 'LOCKED_TEST', false)) AS locked, count(*) FILTER (coalesce(image_label = 'ABNORMAL', false)) AS pos, count(*) FILTER (NOT coalesce(image_label = 'ABNORMAL', false)) AS neg FROM comp JOIN images USING (image_id) GROUP BY component),
+ o AS MATERIALIZED (SELECT pos, neg, row_number() OVER (ORDER BY pos + neg DESC, pos DESC) AS rn FROM k WHERE NOT locked), w AS MATERIALIZED (SELECT greatest(1, coalesce(sum(pos), 0))::DOUBLE AS p, greatest(1, coalesce(sum(neg), 0))::DOUBLE AS n FROM o),
+ f(rn, p, n, c) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+  SELECT rn, list_transform([1, 2, 3, 4, 5], lambda i: p[i] + CASE WHEN i = best THEN pos ELSE 0 END), list_transform([1, 2, 3, 4, 5], lambda i: n[i] + CASE WHEN i = best THEN neg ELSE 0 END), list_transform([1, 2, 3, 4, 5], lambda i: c[i] + CASE WHEN i = best THEN 1 ELSE 0 END)
+  FROM (SELECT o.rn, f.p, f.n, f.c, o.pos, o.neg, list_sort(list_transform([1, 2, 3, 4, 5], lambda i: {'x': round(CASE WHEN o.pos > 0 THEN (f.p[i] + o.pos) / w.p ELSE 0 END + CASE WHEN o.neg > 0 THEN (f.n[i] + o.neg) / w.n ELSE 0 END, 12), 'l': f.p[i] + f.n[i], 'i': i}))[1].i AS best FROM f JOIN o ON o.rn = f.rn + 1, w) s),
+ z AS (SELECT * FROM f ORDER BY rn DESC LIMIT 1)
+ SELECT fold, n, abnormal, components FROM (SELECT CAST(i - 1 AS INTEGER) AS fold, p[i] + n[i] AS n, p[i] AS abnormal, c[i] AS components FROM z, (SELECT unnest(range(1, 6)) AS i) t) q WHERE components > 0
+ UNION ALL SELECT -1, CAST(sum(pos + neg) AS BIGINT), CAST(sum(pos) AS BIGINT), count(*) FROM k WHERE locked HAVING count(*) > 0"""
 
-def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+
+def _folded(spark: SparkSession, d: str, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     i = views.images(spark, d).select("image_id", F.coalesce(F.col("image_label") == "ABNORMAL", F.lit(False)).alias("abnormal"), F.coalesce(F.col("split_role") == "LOCKED_TEST", F.lit(False)).alias("is_locked"))
-    parts = written(_identity(spark, d).join(i, "image_id"), "fold-parts")
-    return parts, grouping.balanced_folds(parts, "abnormal", "is_locked")
+    rows = written(parts.join(i, "image_id"), "fold-parts")
+    return rows, grouping.balanced_folds(rows, "abnormal", "is_locked")
+
+
+def _balance(spark: SparkSession, d: str, parts: DataFrame) -> DataFrame:
+    rows, folds_ = _folded(spark, d, parts)
+    return rows.join(folds_, "component").groupBy("fold").agg(F.count("*").alias("n"), F.count_if("abnormal").alias("abnormal"), F.count_distinct("component").alias("components"))
 
 
 @query()
 def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return _folded(spark, d)[1]
+    return _folded(spark, d, _identity(spark, d))[1]
 
 
-@query()
+@query(COMPONENTS[:-1] + FOLDS)
 def fold_balance(spark: SparkSession, d: str) -> DataFrame:
-    parts, folds_ = _folded(spark, d)
-    return parts.join(folds_, "component").groupBy("fold").agg(F.count("*").alias("n"), F.count_if("abnormal").alias("abnormal"), F.count_distinct("component").alias("components"))
+    return _balance(spark, d, _identity(spark, d))
+
+
+@query(GROUPS[:-1] + FOLDS)
+def group_fold_balance(spark: SparkSession, d: str) -> DataFrame:
+    return _balance(spark, d, _groups(spark, d))
 
 
 # ---- vectors ----
 
-UNIT = ctes("vectors")[:-1] + """, u AS (SELECT vec_id, label, role, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM vectors),
- fl AS (SELECT label, unnest(range(len(e))) AS dim, unnest(e) AS v FROM u WHERE role = 'train'), mn AS (SELECT label, dim, avg(v) AS v FROM fl GROUP BY label, dim),
+UNIT = ctes("vectors")[:-1] + """, u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM vectors),
+ fl AS (SELECT label, unnest(range(len(e))) AS dim, unnest(e) AS v FROM u), mn AS (SELECT label, dim, avg(v) AS v FROM fl GROUP BY label, dim),
  nm AS (SELECT label, sqrt(sum(v * v)) AS nrm FROM mn GROUP BY label), ce AS (SELECT label, list(v / nrm ORDER BY dim) AS c FROM mn JOIN nm USING (label) GROUP BY label) """
-NEAREST = UNIT[:-1] + """, ds AS (SELECT vec_id, u.label AS own, ce.label, 1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * c[i])) AS dd FROM u, ce WHERE role = 'test'),
+NEAREST = UNIT[:-1] + """, ds AS (SELECT vec_id, u.label AS own, ce.label, 1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * c[i])) AS dd FROM u, ce),
  rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, label) rn FROM ds) """
 
 
 def _centres(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.class_centres(views.vectors(spark, d).where("role = 'train'"), "label", "embedding")
+    return vectors.class_centres(views.vectors(spark, d), "label", "embedding")
 
 
 @query(UNIT + "SELECT label, CAST(dim AS INTEGER) AS dim, round(v / nrm, 6) AS value FROM mn JOIN nm USING (label)")
@@ -422,7 +502,7 @@ def prototype_centers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.nearest_class(views.vectors(spark, d).where("role = 'test'"), "vec_id", "embedding", _centres(spark, d), "label")
+    return vectors.nearest_class(views.vectors(spark, d), "vec_id", "embedding", _centres(spark, d), "label")
 
 
 @query(NEAREST + "SELECT a.vec_id, a.label AS nearest, round(a.dd, 6) AS distance, round(b.dd, 6) AS second, round(b.dd - a.dd, 6) AS margin FROM rk a JOIN rk b ON a.vec_id = b.vec_id AND a.rn = 1 AND b.rn = 2")
@@ -436,11 +516,11 @@ def prototype_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).join(own, "vec_id").agg(F.count("*").alias("n"), F.round(F.avg((F.col("nearest") == F.col("label")).cast("int")), 6).alias("accuracy"))
 
 
-@query(UNIT[:-1] + """, pr AS (SELECT a.vec_id, b.vec_id AS neighbour, 1 - list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS dd FROM u a JOIN u b ON a.label = b.label AND a.role = 'test' AND b.role = 'train')
+@query(UNIT[:-1] + """, pr AS (SELECT a.vec_id, b.vec_id AS neighbour, 1 - list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS dd FROM u a JOIN u b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
  SELECT vec_id, neighbour, round(dd, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dd, 12), neighbour) rn FROM pr) t WHERE rn = 1""")
 def own_class_nn(spark: SparkSession, d: str) -> DataFrame:
     v = views.vectors(spark, d)
-    return r6(vectors.own_class_neighbour(v.where("role = 'test'"), v.where("role = 'train'"), "vec_id", "label", "embedding"), "distance")
+    return r6(vectors.own_class_neighbour(v.where("vec_id % 100 = 0"), v, "vec_id", "label", "embedding"), "distance")
 
 
 @query("SELECT count(*) AS rows, round(avg(n), 6) AS norm_mean, round(stddev_pop(n), 6) AS norm_std, round((SELECT avg(v) FROM (SELECT var_pop(x::DOUBLE) v FROM (SELECT unnest(range(len(embedding))) d, unnest(embedding) x FROM embeddings) t GROUP BY d) w), 6) AS mean_variance FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) n FROM embeddings) q")
@@ -448,16 +528,17 @@ def embedding_stats(spark: SparkSession, d: str) -> DataFrame:
     return r6(vectors.embedding_statistics(table(spark, d, "embeddings"), "embedding"), "norm_mean", "norm_std", "mean_variance")
 
 
-@query()
-def nearest_class_all(spark: SparkSession, d: str) -> DataFrame:
-    v = views.vectors(spark, d)
-    return r6(vectors.nearest_class(v, "vec_id", "embedding", vectors.class_centres(v, "label", "embedding"), "label"), "distance", "second", "margin")
+@query(UNIT + "SELECT vec_id, round(1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * c[i])), 6) AS centre_distance FROM u JOIN ce ON u.label = ce.label")
+def own_centre(spark: SparkSession, d: str) -> DataFrame:
+    return r6(vectors.own_centre_distance(views.vectors(spark, d), _centres(spark, d), "vec_id", "label", "embedding"), "centre_distance")
 
 
-@query()
-def own_class_nn_all(spark: SparkSession, d: str) -> DataFrame:
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, list_transform(embedding, lambda x: x::DOUBLE + 0.05) AS b FROM embeddings), q AS (SELECT 1 - list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x)))) AS d FROM p)
+ SELECT count(*) AS rows, round(avg(d), 6) AS drift_mean, round(max(d), 6) AS drift_max, (SELECT avg(v) < 0.0001 FROM (SELECT var_pop(x) v FROM (SELECT unnest(range(len(b))) k, unnest(b) x FROM p) t GROUP BY k) u) AS collapsed FROM q""")
+def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
     v = views.vectors(spark, d)
-    return r6(vectors.own_class_neighbour(v.where("vec_id % 100 = 0"), v, "vec_id", "label", "embedding"), "distance")
+    moved = v.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + 0.05))
+    return r6(vectors.embedding_drift(v, moved, "vec_id", "embedding"), "drift_mean", "drift_max")
 
 
 @query()
@@ -520,7 +601,7 @@ def mining_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mining_queue(spark: SparkSession, d: str) -> DataFrame:
     rows = written(_ranked(spark, d), "mined")
-    kept = queues.greedy_suppression(rows, "crop_id", "rank", ["crop_sha256"])
+    kept = queues.greedy_suppression(rows, "crop_id", "rank", ["crop_sha256", "source_group_id"])
     return queues.interleaved(kept, "crop_id", "rank", "reasons", {"product_id": 3, "template_id": 20, "source_id": 50}, 500)
 
 
@@ -542,26 +623,31 @@ def review_yield(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("yield", F.round(F.try_divide(F.col("blocked"), F.col("accepted")), 6))
 
 
-GOLD = "WITH l AS (SELECT crop_id, min(label) AS label, min(annotator_id) AS annotator_id, batch_no <= 5 AS old FROM review_candidates WHERE label IS NOT NULL GROUP BY crop_id, batch_no <= 5) "
+GOLD = """WITH l AS (SELECT crop_id, min(label) AS label, max(label) AS other, min(annotator_id) AS annotator_id, coalesce(batch_no, 0) <= 5 AS old FROM review_candidates WHERE label IS NOT NULL GROUP BY ALL), a AS (SELECT crop_id, label, annotator_id FROM l WHERE old AND label = other), b AS (SELECT * FROM l WHERE NOT old) """
+
 
+def _gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "review_candidates").where("label IS NOT NULL").select("crop_id", "label", "annotator_id", (F.coalesce("batch_no", F.lit(0)) <= 5).alias("old"))
+    none = rows.drop("old").limit(0)
+    accepted, _ = queues.merge_labels(none, rows.where("old").drop("old"), "crop_id", ["label"])
+    return queues.merge_labels(accepted, rows.where("NOT old").drop("old"), "crop_id", ["label"])
 
-@query(GOLD + "SELECT crop_id, label, annotator_id FROM l WHERE old UNION ALL SELECT crop_id, label, annotator_id FROM l WHERE NOT old AND crop_id NOT IN (SELECT crop_id FROM l WHERE old)")
+
+@query(GOLD + "SELECT crop_id, label, annotator_id FROM a UNION ALL SELECT crop_id, label, annotator_id FROM b WHERE label = other AND crop_id NOT IN (SELECT crop_id FROM a)")
 def gold_merge(spark: SparkSession, d: str) -> DataFrame:
-    old = F.col("batch_no") <= 5
-    g = table(spark, d, "review_candidates").where("label IS NOT NULL").groupBy("crop_id", old.alias("old")).agg(F.min("label").alias("label"), F.min("annotator_id").alias("annotator_id"))
-    merged, _ = queues.merge_labels(g.where("old").drop("old"), g.where("NOT old").drop("old"), "crop_id", ["label"])
-    return merged
+    return _gold(spark, d)[0]
 
 
-@query(GOLD + "SELECT a.crop_id FROM l a JOIN l b ON a.crop_id = b.crop_id AND NOT a.old AND b.old AND a.label IS DISTINCT FROM b.label")
+@query(GOLD + "SELECT b.crop_id FROM b LEFT JOIN a ON a.crop_id = b.crop_id WHERE b.label <> b.other OR a.label <> b.label")
 def gold_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    old = F.col("batch_no") <= 5
-    g = table(spark, d, "review_candidates").where("label IS NOT NULL").groupBy("crop_id", old.alias("old")).agg(F.min("label").alias("label"), F.min("annotator_id").alias("annotator_id"))
-    return queues.merge_labels(g.where("old").drop("old"), g.where("NOT old").drop("old"), "crop_id", ["label"])[1]
+    return _gold(spark, d)[1]
 
 
 # ---- sampling, identifiers, text ----
 
+CLASS = """CASE WHEN cp = 65533 THEN 'REPLACEMENT' WHEN cp BETWEEN 57344 AND 63743 OR cp BETWEEN 983040 AND 1048573 OR cp BETWEEN 1048576 AND 1114109 THEN 'PRIVATE_USE' WHEN cp BETWEEN 64976 AND 65007 OR cp & 65534 = 65534 THEN 'NONCHARACTER'
+ WHEN cp BETWEEN 13312 AND 19903 OR cp BETWEEN 19968 AND 40959 OR cp BETWEEN 63744 AND 64255 OR cp BETWEEN 131072 AND 173791 OR cp BETWEEN 173824 AND 191471 OR cp BETWEEN 194560 AND 195103 OR cp BETWEEN 196608 AND 205743 THEN 'CJK' ELSE 'OTHER' END"""
+
 
 @query(ctes("images")[:-1] + """, h AS (SELECT image_id, split_role, row_number() OVER (PARTITION BY split_role ORDER BY sha256('5:' || image_id), image_id) rn, count(*) OVER (PARTITION BY split_role) n FROM images WHERE split_role IS NOT NULL)
  SELECT image_id, split_role, rn <= least(n - 1, greatest(1, round_even(n * 0.1, 0))) AS chosen FROM h""")
@@ -569,9 +655,10 @@ def hash_holdout(spark: SparkSession, d: str) -> DataFrame:
     return sampling.hash_holdout(views.images(spark, d).where("split_role IS NOT NULL"), "image_id", "split_role", 0.1, 5)
 
 
-@query("SELECT sample_id, CASE WHEN CAST('0x' || substr(sha256(base_char || chr(0) || source_group_id), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0 < 0.8 THEN 'train' ELSE 'validation' END AS split FROM glyph_items WHERE base_char IS NOT NULL AND source_group_id IS NOT NULL")
+@query(f"SELECT sample_id, CASE WHEN CAST('0x' || substr(sha256(c || chr(0) || source_group_id), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0 < 0.8 THEN 'train' ELSE 'validation' END AS split FROM (SELECT sample_id, {canon_sql('base_char')} AS c, source_group_id FROM glyph_items) t WHERE c IS NOT NULL AND source_group_id IS NOT NULL")
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.hash_split(table(spark, d, "glyph_items").where("base_char IS NOT NULL AND source_group_id IS NOT NULL"), "sample_id", ["base_char", "source_group_id"], 0.8)
+    rows = table(spark, d, "glyph_items").select("sample_id", text.canon_col("base_char").alias("c"), "source_group_id").where("c IS NOT NULL AND source_group_id IS NOT NULL")
+    return sampling.hash_split(rows, "sample_id", ["c", "source_group_id"], 0.8)
 
 
 PAIRS = """WITH k AS (SELECT DISTINCT sample_id, source_group_id FROM glyph_items WHERE source_group_id IS NOT NULL AND split_role = 'train'), r AS (SELECT sample_id, source_group_id, row_number() OVER w rn, lead(sample_id) OVER w nxt, first_value(sample_id) OVER w fst FROM k WINDOW w AS (PARTITION BY source_group_id ORDER BY sha256('3:' || sample_id), sample_id)),
@@ -588,21 +675,21 @@ def pair_batches(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
-@query("""WITH b AS (SELECT CAST('0x' || substr(sha256('9:' || sample_id), 1, 2) AS INTEGER) % 4 AS epoch, CAST('0x' || substr(sha256('9:' || sample_id), 3, 3) AS INTEGER) AS batch, base_char FROM glyph_items WHERE base_char IS NOT NULL),
+@query(f"""WITH b AS (SELECT CAST('0x' || substr(sha256('9:' || sample_id), 1, 2) AS INTEGER) % 4 AS epoch, CAST('0x' || substr(sha256('9:' || sample_id), 3, 3) AS INTEGER) AS batch, {canon_sql('base_char')} AS base_char FROM glyph_items WHERE {canon_sql('base_char')} IS NOT NULL),
  n AS (SELECT epoch, batch, base_char, count(*) n FROM b GROUP BY ALL), p AS (SELECT epoch, batch, sum(n) AS "rows", sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS eligible, sum(n * (n - 1) // 2) AS pairs FROM n GROUP BY epoch, batch)
  SELECT epoch, CAST(sum("rows") AS BIGINT) AS "rows", CAST(sum(eligible) AS BIGINT) AS eligible, CAST(sum(pairs) AS BIGINT) AS pairs, count(*) FILTER (pairs = 0) AS empty_batches FROM p GROUP BY epoch""")
 def pair_coverage(spark: SparkSession, d: str) -> DataFrame:
     h = sampling.seeded(9, F.col("sample_id"))
-    b = table(spark, d, "glyph_items").where("base_char IS NOT NULL").select((F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 4).alias("epoch"), F.conv(F.substring(h, 3, 3), 16, 10).cast("int").alias("batch"), "base_char")
+    b = table(spark, d, "glyph_items").withColumn("base_char", text.canon_col("base_char")).where("base_char IS NOT NULL").select((F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 4).alias("epoch"), F.conv(F.substring(h, 3, 3), 16, 10).cast("int").alias("batch"), "base_char")
     return sampling.pair_exposure(b, "epoch", "batch", "base_char")
 
 
-SLOTS = """WITH s AS (SELECT n_name AS character, r.r AS role, o.o AS operator, CAST(p.p AS INTEGER) AS replica FROM nation, (VALUES ('train'), ('calibration'), ('test')) r(r), (VALUES ('identity'), ('erase'), ('add'), ('break'), ('bridge'), ('shift')) o(o), (SELECT unnest(range(4)) p) p),
- x AS (SELECT *, sha256('17:' || character || ':' || role || ':' || operator || ':' || replica) h FROM s), z AS (SELECT character, role, operator, replica, CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) & 9223372036854775807::UBIGINT AS BIGINT) AS seed FROM x) """
+SLOTS = """WITH s AS (SELECT n.c AS character, r.r AS role, o.o AS operator, CAST(p.p AS INTEGER) AS replica FROM (SELECT DISTINCT {CANON} AS c FROM glyph_items WHERE {CANON} IS NOT NULL) n, (VALUES ('train'), ('calibration'), ('test')) r(r), (VALUES ('identity'), ('erase'), ('add'), ('break'), ('bridge'), ('shift')) o(o), (SELECT unnest(range(4)) p) p),
+ x AS (SELECT *, sha256('17:' || character || ':' || role || ':' || operator || ':' || replica) h FROM s), z AS (SELECT character, role, operator, replica, CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) & 9223372036854775807::UBIGINT AS BIGINT) AS seed FROM x) """.replace("{CANON}", canon_sql("base_char"))
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.slot_plan(table(spark, d, "nation"), "n_name", ["train", "calibration", "test"], ["identity", "erase", "add", "break", "bridge", "shift"], 4, 17)
+    return sampling.slot_plan(table(spark, d, "glyph_items").select(text.canon_col("base_char").alias("c")).where("c IS NOT NULL"), "c", ["train", "calibration", "test"], ["identity", "erase", "add", "break", "bridge", "shift"], 4, 17)
 
 
 @query(SLOTS + "SELECT * FROM z")
@@ -622,13 +709,55 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "glyph_items").select("sample_id", text.stable_id("g-", F.col("base_char"), F.col("operator"), F.col("seed")).alias("stable_id"))
 
 
-@query("SELECT split_role, count(*) AS n, sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)) AS digest FROM (SELECT DISTINCT split_role, sample_id FROM glyph_items WHERE split_role IS NOT NULL) t GROUP BY split_role")
+@query("WITH r AS (SELECT DISTINCT split_role AS g, sample_id AS k, sample_id AS v FROM glyph_items WHERE split_role IS NOT NULL AND sample_id IS NOT NULL) SELECT g AS split_role, n, digest FROM (" + _BLOCKS + ") z")
 def digest(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "glyph_items").where("split_role IS NOT NULL").select("split_role", "sample_id").distinct()
-    return k.groupBy("split_role").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("sample_id")), "\n"), 256).alias("digest"))  # defined over the whole sorted list
+    k = table(spark, d, "glyph_items").where("split_role IS NOT NULL AND sample_id IS NOT NULL").select("split_role", "sample_id").distinct()
+    return constraints.block_digest(k, "split_role", "sample_id", "sample_id")
+
+
+POSITIONS = "row_number() OVER (ORDER BY sha256('{0}:' || {1}), {1}) - 1"
+
+
+@query("WITH k AS (SELECT DISTINCT image_id FROM real_manifest WHERE image_id IS NOT NULL), n AS (SELECT image_id, " + POSITIONS.format(21, "image_id") + " AS pos FROM k) SELECT image_id, pos // 32 AS batch, CAST(pos % 32 AS INTEGER) AS place FROM n")
+def random_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.random_batches(table(spark, d, "real_manifest").where("image_id IS NOT NULL").select("image_id").distinct(), "image_id", 32, 21)
+
+
+@query(PAIRS[:-1] + ", pn AS (SELECT a, b, " + POSITIONS.format(4, "(a || '|' || b)") + " AS at FROM pb), ok AS (SELECT DISTINCT sample_id FROM glyph_items WHERE decision = 'BLOCK' AND sample_id IS NOT NULL), bn AS (SELECT sample_id, " + POSITIONS.format(5, "sample_id") + """ AS at FROM ok),
+ z AS (SELECT (SELECT count(*) FROM pn) AS p, (SELECT count(*) FROM bn) AS o), m AS (SELECT greatest(ceil(p / 8.0), ceil(o / 16.0))::BIGINT AS batches, p, o FROM z)
+ SELECT s // 8 AS batch, CAST(s % 8 AS INTEGER) AS slot, 'pair' AS kind, a, b FROM m, (SELECT unnest(range((SELECT batches * 8 FROM m))) AS s) t JOIN pn ON pn.at = s % (SELECT p FROM z)
+ UNION ALL SELECT s // 16, CAST(s % 16 AS INTEGER), 'other', sample_id, NULL FROM m, (SELECT unnest(range((SELECT batches * 16 FROM m))) AS s) t JOIN bn ON bn.at = s % (SELECT o FROM z)""")
+def composed_batches(spark: SparkSession, d: str) -> DataFrame:
+    others = table(spark, d, "glyph_items").where("decision = 'BLOCK' AND sample_id IS NOT NULL").select("sample_id").distinct()
+    return sampling.composed_batches(_pairs(spark, d), others, "sample_id", 32, 3)
+
+
+@query("SELECT DISTINCT image_path, regexp_extract(image_path, '^(.*)[/\\\\][^/\\\\]*$', 1) AS folder, regexp_extract(image_path, '([^/\\\\]*)$', 1) AS name, lower(regexp_extract(image_path, '.(\\.[^./\\\\]*)$', 1)) AS suffix FROM real_manifest WHERE image_path IS NOT NULL")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "real_manifest").where("image_path IS NOT NULL").select("image_path").distinct()
+    return p.withColumn("x", text.path_parts(F.col("image_path"))).select("image_path", "x.folder", "x.name", "x.suffix")
+
+
+@query("SELECT decision, coalesce(nullif(trim(anomaly_kind), ''), CASE WHEN decision = 'PASS' THEN 'NONE' ELSE 'unknown' END) AS kind, count(*) AS n FROM crop_scores GROUP BY 1, 2")
+def kind_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crop_scores").groupBy("decision", text.default_kind(F.col("anomaly_kind"), F.col("decision")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(ctes("scores", "queue") + f""", cat AS (SELECT DISTINCT {canon_sql('base_char')} AS base_char FROM glyph_items), e AS (SELECT image_id, c.annotation_id AS annotation_id, c.text AS ch FROM (SELECT image_id, unnest(characters) AS c FROM real_manifest) t WHERE length(c.text) = 1),
+ s AS (SELECT image_id, max(risk_score) AS visual FROM scores GROUP BY image_id), q AS (SELECT image_id, 1 - max(disagreement) AS confidence FROM queue WHERE disagreement BETWEEN 0 AND 1 GROUP BY image_id),
+ k AS (SELECT e.image_id, annotation_id, unicode(ch) AS cp, coalesce({canon_sql('ch')} IN (SELECT base_char FROM cat WHERE base_char IS NOT NULL), false) AS known, visual, coalesce(confidence, 0.9) AS confidence FROM e LEFT JOIN s ON e.image_id = s.image_id LEFT JOIN q ON e.image_id = q.image_id),
+ m AS (SELECT *, {{CLASS}} AS class FROM k), r AS (SELECT *, class IN ('REPLACEMENT', 'PRIVATE_USE', 'NONCHARACTER') AS unsafe, CASE WHEN class IN ('REPLACEMENT', 'PRIVATE_USE', 'NONCHARACTER') THEN 1.0::DOUBLE WHEN class = 'OTHER' OR NOT known THEN 0.49 ELSE 0 END AS membership_risk FROM m)
+ SELECT image_id, annotation_id, class AS unicode_class, round(greatest(1 - confidence, membership_risk, coalesce(visual, 0)), 6) AS combined_risk, unsafe OR coalesce(visual >= 0.5, false) AS auto_block, NOT known OR unsafe OR class = 'OTHER' OR confidence < 0.5 OR visual IS NOT NULL AS needs_review FROM r""".replace("{CLASS}", CLASS).replace(" , cat", ", cat"))
+def policy_scores(spark: SparkSession, d: str) -> DataFrame:
+    cat = table(spark, d, "glyph_items").select(text.canon_col("base_char").alias("key")).where("key IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    e = table(spark, d, "real_manifest").select("image_id", F.explode("characters").alias("c")).select("image_id", "c.annotation_id", F.col("c.text").alias("ch")).where("length(ch) = 1").withColumn("key", text.canon_col("ch"))
+    s = views.scores(spark, d).groupBy("image_id").agg(F.max("risk_score").alias("visual"))
+    q = views.queue(spark, d).where("disagreement BETWEEN 0 AND 1").groupBy("image_id").agg((1 - F.max("disagreement")).alias("confidence"))
+    j = e.join(cat, "key", "left").join(s, "image_id", "left").join(q, "image_id", "left").fillna(0.9, ["confidence"])
+    out = text.policy_scores(j, "ch", "confidence", "visual", "known")
+    return out.select("image_id", "annotation_id", "unicode_class", F.round("combined_risk", 6).alias("combined_risk"), "auto_block", "needs_review")
 
 
-CLASS = "CASE WHEN cp = 65533 THEN 'REPLACEMENT' WHEN cp BETWEEN 57344 AND 63743 OR cp BETWEEN 983040 AND 1048573 OR cp BETWEEN 1048576 AND 1114109 THEN 'PRIVATE_USE' WHEN cp BETWEEN 64976 AND 65007 OR cp & 65534 = 65534 THEN 'NONCHARACTER' WHEN " + " OR ".join(f"cp BETWEEN {a} AND {b}" for a, b in text.CJK) + " THEN 'CJK' ELSE 'OTHER' END"
 CHARS = "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), k AS (SELECT doc_id, ch, unicode(ch) AS cp FROM c WHERE ch <> '') "
 
 
@@ -638,10 +767,10 @@ def unicode_class(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("class", text.unicode_class(F.col("char"))).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("characters"))
 
 
-@query(CHARS[:-1] + f""", cat AS (SELECT DISTINCT base_char FROM glyph_items WHERE base_char IS NOT NULL), z AS (SELECT doc_id, {CLASS} AS class, ch IN (SELECT base_char FROM cat) AS known FROM k)
+@query(CHARS[:-1] + f""", cat AS (SELECT DISTINCT {canon_sql('base_char')} AS base_char FROM glyph_items WHERE {canon_sql('base_char')} IS NOT NULL), z AS (SELECT doc_id, {CLASS} AS class, ch IN (SELECT base_char FROM cat) AS known FROM k)
  SELECT doc_id, max(CASE WHEN class IN ('REPLACEMENT', 'PRIVATE_USE', 'NONCHARACTER') THEN 1.0::DOUBLE WHEN class = 'CJK' AND NOT known THEN 0.49 WHEN class = 'OTHER' THEN 0.49 ELSE 0 END) AS risk, count(*) FILTER (class = 'CJK' AND NOT known) AS rare, count(*) AS characters FROM z GROUP BY doc_id""")
 def baseline_policy(spark: SparkSession, d: str) -> DataFrame:
-    cat = table(spark, d, "glyph_items").where("base_char IS NOT NULL").select(F.col("base_char").alias("char")).distinct().withColumn("known", F.lit(True))
+    cat = table(spark, d, "glyph_items").select(text.canon_col("base_char").alias("char")).where("char IS NOT NULL").distinct().withColumn("known", F.lit(True))
     chars = text.characters(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "char").agg(F.count("*").alias("k"))
     j = chars.join(cat, "char", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "class": text.unicode_class(F.col("char"))})
     risk = text.policy_risk(F.col("class"), F.col("known"), 0.5)

@@ -14,10 +14,17 @@ SQL = {
     "folds": "SELECT image_id, min(fold) AS fold, min(component_id) AS component_id, min(phash) AS phash, min(image_label) AS image_label, min(split_role) AS split_role FROM fold_manifest GROUP BY image_id",
     "labelled": "SELECT crop_id, image_id, fold, anomaly_kind, decision = 'BLOCK' AS label, risk_score AS score FROM scores WHERE decision IN ('PASS', 'BLOCK')",
     "queue": "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY disagreement DESC NULLS LAST, risk_score DESC, priority_rank, queue_version) rn FROM review_candidates) t WHERE rn = 1",
-    "vectors": "SELECT vec_id, embedding, label, CASE WHEN vec_id % 5 = 0 THEN 'test' WHEN vec_id % 5 = 1 THEN 'calibration' ELSE 'train' END AS role FROM embeddings",
+    "vectors": "SELECT vec_id, embedding, label FROM embeddings",
 }
 
 
+def canon_sql(column: str) -> str:
+    """``canon`` in SQL: full-width forms by a rule, the other forms that occur by NFC."""
+    wide, narrow = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+    drop = r"[\s\-_\x{a0}\x{3000}\x{200b}-\x{200f}\x{2060}\x{feff}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]"
+    return f"nullif(lower(regexp_replace(translate(nfc_normalize({column}), '{wide}', '{narrow}'), '{drop}', '', 'g')), '')"
+
+
 def ctes(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " "
 
@@ -47,4 +54,4 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").selectExpr("vec_id", "embedding", "label", "CASE WHEN vec_id % 5 = 0 THEN 'test' WHEN vec_id % 5 = 1 THEN 'calibration' ELSE 'train' END AS role")
+    return table(spark, d, "embeddings").select("vec_id", "embedding", "label")

@@ -14,6 +14,17 @@ def windows(events: DataFrame, ts: str, kind: str, value: str, width: str = "1 h
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), kind, "n", "total")
 
 
+def lineage_breaks(versions: DataFrame, version: str, parent: str) -> DataFrame:
+    """Versions whose parent is not among the versions; without parent they are roots and no breaks."""
+    known = versions.select(F.col(version).alias("__known")).where("__known IS NOT NULL").distinct()
+    return versions.where(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("__known"), "left_anti")
+
+
+def append_progress(rows: DataFrame, path: str, began: float) -> None:
+    """Append progress events as JSON lines with the seconds since ``began`` (a Unix time); earlier files are never touched."""
+    rows.withColumn("elapsed_s", F.round(F.unix_millis(F.current_timestamp()) / 1000 - F.lit(began), 3)).write.mode("append").json(path)
+
+
 def log_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
