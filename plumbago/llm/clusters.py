@@ -436,30 +436,51 @@ def _described(dist: DataFrame, group: str, record: str, typical: int, name: str
 # ---- bounded leaves and Ward agglomeration over plain features ----
 
 
+def _inserted(n: np.ndarray, ls: np.ndarray, ss: np.ndarray, reach: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Features put one after the other into the nearest leaf if the radius of the union stays within ``reach``, else into a
+    leaf of their own; None if that takes more than ``limit`` leaves. Blocks of features look up their leaves at once."""
+    ln, ll, lq = n[:0], ls[:0], ss[:0]
+    for at in range(0, len(n), 256):
+        wait = np.arange(at, min(at + 256, len(n)))
+        while len(wait):
+            fits = np.zeros(len(wait), bool)
+            if len(ln):
+                gap = ((ls[wait] / n[wait, None])[:, None] - (ll / ln[:, None])[None]) ** 2
+                near = gap.sum(2).argmin(1)
+                un, ul, uq = n[wait] + ln[near], ls[wait] + ll[near], ss[wait] + lq[near]
+                fits = uq / un - ((ul / un[:, None]) ** 2).sum(1) <= reach * reach
+                for own, more in ((ln, n), (ll, ls), (lq, ss)):
+                    np.add.at(own, near[fits], more[wait[fits]])
+            wait = wait[~fits]
+            if len(wait):
+                if len(ln) == limit:
+                    return None
+                ln, ll, lq = np.append(ln, n[wait[0]]), np.concatenate([ll, ls[wait[:1]]]), np.append(lq, ss[wait[0]])
+                wait = wait[1:]
+    return ln, ll, lq
+
+
 def leaves_of(x: np.ndarray, limit: int, n: np.ndarray | None = None, ls: np.ndarray | None = None, ss: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most ``limit`` cluster features (n, ls, ss) of the points or features given.
 
-    Points enter one batch at a time and join the nearest leaf if the radius of the union stays under a threshold; when
-    there are more leaves than the limit, the threshold doubles and the leaves are inserted anew.
+    Equal points are one feature. While there are more than the limit, they are inserted anew into leaves under a radius
+    that doubles. The features enter in the order of their sums, so the result depends on the rows only.
     """
     if n is None:
         n, ls, ss = np.ones(len(x)), x.astype(np.float64), (x.astype(np.float64) ** 2).sum(1)
     assert ls is not None and ss is not None
-    order = np.lexsort([*ls.T[::-1]])
-    n, ls, ss = n[order], ls[order], ss[order]
-    scale = math.sqrt(max(1e-12, (ss.sum() / n.sum() - ((ls.sum(0) / n.sum()) ** 2).sum()))) if len(n) else 1.0
-    # a step of the grid is a threshold on the radius; points of one cell form a leaf
-    step = 0.0
-    while True:
-        key = ls / n[:, None] if step == 0 else np.floor(ls / n[:, None] / step)
-        _, at = np.unique(key, axis=0, return_inverse=True)
-        at = at.ravel()
-        k = at.max() + 1 if len(at) else 0
-        if k <= limit:
-            break
-        step = scale / 64 if step == 0 else step * 2
-    n2, ls2, ss2 = np.bincount(at, n, k), np.zeros((k, ls.shape[1])), np.bincount(at, ss, k)
-    np.add.at(ls2, at, ls)
+    if not len(n):
+        return n, ls, ss
+    centre, at = np.unique(ls / n[:, None], axis=0, return_inverse=True)
+    k = len(centre)
+    n2, ls2, ss2 = np.bincount(at.ravel(), n, k), np.zeros((k, ls.shape[1])), np.bincount(at.ravel(), ss, k)
+    np.add.at(ls2, at.ravel(), ls)
+    reach = math.sqrt(max(1e-12, ss2.sum() / n2.sum() - ((ls2.sum(0) / n2.sum()) ** 2).sum())) / 64
+    while len(n2) > limit:
+        got = _inserted(n2, ls2, ss2, reach, limit)
+        if got is not None:
+            return got
+        reach *= 2
     return n2, ls2, ss2
 
 

@@ -3,24 +3,13 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_DROP = re.compile("[\\s\\-_\u2010-\u2015\u2212\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f\ufe63\uff0d\uff3f\U000e0100-\U000e01ef]+")
-_ASCII_DROP = str.maketrans("", "", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f-_")
+from plumbago.functions.text import canon, canon_col
 
-
-def canon(text: str | None) -> str | None:
-    """NFKC, lower case, without white space, joiners, variation selectors and format characters; blank gives None."""
-    if text is None:
-        return None
-    if text.isascii():
-        return text.translate(_ASCII_DROP).lower() or None
-    return _DROP.sub("", unicodedata.normalize("NFKC", _DROP.sub("", text))).lower() or None
+__all__ = ["canon", "canon_col", "canon_hash", "trimmed"]
 
 
 def canon_hash(text: str | None) -> str | None:
@@ -29,18 +18,6 @@ def canon_hash(text: str | None) -> str | None:
     return None if key is None else (re.sub(r"^(sha256[:=]?|0x)", "", key) or None)
 
 
-def _canon_series(values: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else canon(v) for v in values], dtype=object)
-
-
-def canon_col(column: Column | str) -> Column:
-    """``canon`` as a column: ASCII values in the JVM, the others in Arrow batches (the rest of them is sent as nulls)."""
-    c = F.col(column) if isinstance(column, str) else column
-    plain = ~c.rlike("[^\\x00-\\x7f]")
-    own = F.nullif(F.lower(F.translate(c, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f-_", "")), F.lit(""))
-    return F.when(plain, own).otherwise(F.pandas_udf(_canon_series, T.StringType())(F.when(~plain, c)))
-
-
 def trimmed(column: Column | str) -> Column:
     """An id as results show it: trimmed and in lower case; blank gives null. Runs in the JVM."""
     c = F.col(column) if isinstance(column, str) else column

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbago.llm import capping, clusters, ledger, mixing, overlaps, packing, splits, toxicity
 from plumbago.llm.keys import canon_col, trimmed
 from plumbago.llm.tokens import with_tokens
+from plumbago.plans.views import canon_sql
 from plumbago.session import table, written
 
 SAMPLE_RATE = 0.1
@@ -122,13 +123,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-def _canon(column: str) -> str:
-    """``canon`` in SQL: full-width forms by a rule, the other forms that occur by NFC."""
-    wide, narrow = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
-    drop = r"[\s\-_\x{a0}\x{3000}\x{200b}-\x{200f}\x{2060}\x{feff}\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]"
-    return f"nullif(lower(regexp_replace(translate(nfc_normalize({column}), '{wide}', '{narrow}'), '{drop}', '', 'g')), '')"
-
-
 def _trim(column: str) -> str:
     return rf"nullif(lower(regexp_replace({column}, '^[\s\x{{3000}}\x{{a0}}]+|[\s\x{{3000}}\x{{a0}}]+$', '', 'g')), '')"
 
@@ -136,17 +130,17 @@ def _trim(column: str) -> str:
 def _sample_sql(name: str, key: str) -> str:
     return f"""SELECT '{name}' AS record_table, key AS record_id, CAST(delivery AS INTEGER) AS since_batch FROM (
   SELECT k.*, q.quota, row_number() OVER (PARTITION BY k.delivery ORDER BY md5('sample:' || key), key) AS rn FROM (
-    SELECT {_canon(key)} AS key, min(coalesce(batch_no, 10)) AS delivery FROM {name} WHERE {_canon(key)} IS NOT NULL GROUP BY 1) k
+    SELECT {canon_sql(key)} AS key, min(coalesce(batch_no, 10)) AS delivery FROM {name} WHERE {canon_sql(key)} IS NOT NULL GROUP BY 1) k
   JOIN (SELECT delivery, round(upto * 0.1) - round((upto - n) * 0.1) AS quota FROM (SELECT delivery, n, sum(n) OVER (ORDER BY delivery) AS upto FROM (
-    SELECT delivery, count(*) AS n FROM (SELECT min(coalesce(batch_no, 10)) AS delivery FROM {name} WHERE {_canon(key)} IS NOT NULL GROUP BY {_canon(key)}) a GROUP BY delivery) b) c) q ON k.delivery = q.delivery) t WHERE rn <= quota"""
+    SELECT delivery, count(*) AS n FROM (SELECT min(coalesce(batch_no, 10)) AS delivery FROM {name} WHERE {canon_sql(key)} IS NOT NULL GROUP BY {canon_sql(key)}) a GROUP BY delivery) b) c) q ON k.delivery = q.delivery) t WHERE rn <= quota"""
 
 
 def _conflict_sql(name: str, record: str, grp: str, held: str) -> str:
     return f"""SELECT DISTINCT '{name}' AS record_table, {record} AS record_id FROM {name} WHERE {record} IS NOT NULL AND {grp} IN (
-  SELECT g FROM (SELECT {grp} AS g, {_canon("split_role")} AS r FROM {name}) t WHERE g IS NOT NULL AND r IS NOT NULL GROUP BY g HAVING bool_or(r = '{held}') AND bool_or(r <> '{held}'))"""
+  SELECT g FROM (SELECT {grp} AS g, {canon_sql("split_role")} AS r FROM {name}) t WHERE g IS NOT NULL AND r IS NOT NULL GROUP BY g HAVING bool_or(r = '{held}') AND bool_or(r <> '{held}'))"""
 
 
-_GLYPHS = f"""WITH RECURSIVE g AS (SELECT DISTINCT {_canon("sample_id")} AS id, {_canon("split_role")} AS role, nullif(regexp_replace({_canon("pixel_sha256")}, '^sha256[:=]?', ''), '') AS hash, views[1:100] AS v FROM glyph_items) """
+_GLYPHS = f"""WITH RECURSIVE g AS (SELECT DISTINCT {canon_sql("sample_id")} AS id, {canon_sql("split_role")} AS role, nullif(regexp_replace({canon_sql("pixel_sha256")}, '^sha256[:=]?', ''), '') AS hash, views[1:100] AS v FROM glyph_items) """
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,8 +148,8 @@ def oracle_sql() -> dict[str, str]:
     near = "list_sum(list_transform(range(1, 101), lambda i: abs(a.v[i]::DOUBLE - b.v[i]::DOUBLE))) / 100"
     return {
         "p1_sample": _sample_sql("glyph_items", "sample_id") + " UNION ALL " + _sample_sql("review_candidates", "crop_id"),
-        "p2_found": _conflict_sql("real_manifest", _trim("image_id"), _canon("source_id"), "lockedtest") + " UNION ALL " + _conflict_sql("glyph_items", _canon("sample_id"), _canon("base_char"), "train"),
-        "p3_found": f"""WITH p AS (SELECT DISTINCT {_trim("image_id")} AS i, {_canon("source_id")} AS s FROM real_manifest WHERE {_trim("image_id")} IS NOT NULL),
+        "p2_found": _conflict_sql("real_manifest", _trim("image_id"), canon_sql("source_id"), "lockedtest") + " UNION ALL " + _conflict_sql("glyph_items", canon_sql("sample_id"), canon_sql("base_char"), "train"),
+        "p3_found": f"""WITH p AS (SELECT DISTINCT {_trim("image_id")} AS i, {canon_sql("source_id")} AS s FROM real_manifest WHERE {_trim("image_id")} IS NOT NULL),
   cap AS (SELECT greatest(1, floor(count(DISTINCT i) * 0.02 + 1e-9)) AS c FROM p), k AS (SELECT {_trim("image_id")} AS i, max(risk_score) AS r FROM crop_scores WHERE risk_score >= 0 AND risk_score <= 1 AND NOT isnan(risk_score) GROUP BY 1),
   o AS (SELECT p.i, row_number() OVER (PARTITION BY s ORDER BY (r IS NULL)::INTEGER, r, p.i) AS rn FROM p LEFT JOIN k ON p.i = k.i WHERE s IS NOT NULL) SELECT DISTINCT i AS image_id FROM o, cap WHERE rn > c""",
         "p4_found": _GLYPHS + f"""SELECT DISTINCT least(a.id, b.id) AS sample_id_a, greatest(a.id, b.id) AS sample_id_b FROM g a JOIN g b ON a.role = 'train' AND b.role IN ('calibration', 'test') AND (a.hash = b.hash OR {near} <= 0.020001)""",

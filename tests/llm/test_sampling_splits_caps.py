@@ -27,6 +27,17 @@ def test_keys_without_meaningless_marks():
     assert canon_hash(" SHA256:AB ") == canon_hash("ab") == "ab"
 
 
+def test_ledger_is_kept_under_its_path(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    assert ledger.load(spark, path) is None
+    df = frame(spark, [(f"s{k}", 1 + k % 2) for k in range(200)])
+    first = ledger.store(ledger.advance(ledger.load(spark, path), df.where("batch_no = 1"), "sample_id", "batch_no", 0.1), path)
+    second = ledger.store(ledger.advance(ledger.load(spark, path), df, "sample_id", "batch_no", 0.1), path)
+    assert chosen(first) <= chosen(second) == chosen(ledger.load(spark, path)) and len(chosen(second)) == 20
+    (tmp_path / "ledger" / "v00000009").mkdir()  # a version that was never finished
+    assert ledger.load(spark, path).count() == 200
+
+
 def test_sample_is_nested_exact_and_independent_of_layout(spark):
     rng = random.Random(1)
     rows = [(f"s{rng.randrange(900)}", rng.randrange(1, 6)) for _ in range(1500)] + [(None, 1), ("S1 ", 2), ("s1", None)]

@@ -77,6 +77,32 @@ def test_shares_repeats_and_positions(spark):
     assert np.allclose(np.sum([v[0] for v in mixing.schedules({"a": 0.5, "b": 0.3, "c": 0.2}).values()], axis=0), 1)
 
 
+def test_last_pass_takes_all_sizes_and_meets_the_demand():
+    rng = np.random.default_rng(2)
+    for t in range(60):
+        size = np.unique(rng.integers(1, 400 if t % 2 else 40_000, int(rng.integers(1, 60))))
+        n = rng.integers(1, 6, len(size))
+        rest = float(rng.uniform(0, (size * n).sum()))
+        take = mixing.fill(size, n, rest)
+        assert (take >= 0).all() and (take <= n).all()
+        left, gap = np.flatnonzero(take < n), rest - float((take * size).sum())
+        assert gap <= (size[left[0]] / 2 if len(left) else 0) + 1e-6 or not take.any()
+    take = mixing.fill(np.arange(1, 101), np.full(100, 10), 25_250.0)
+    assert take[:50].sum() > 200 and take[50:].sum() > 200  # short and long texts alike
+    assert mixing.fill(np.array([5, 900]), np.array([3, 1]), 14.0).tolist() == [3, 0]
+
+
+def test_total_follows_the_corpus_not_the_scarcest_source():
+    caps, shares = {"a": 1000.0, "b": 500.0, "c": 1.0}, {"a": 0.6, "b": 0.39, "c": 0.01}
+    total = mixing.largest_total(caps, shares, 0.02)
+    missing = lambda x: sum(max(0, shares[s] - caps[s] / x) for s in caps)
+    assert missing(total) <= 0.02 + 1e-9 < missing(total * 1.01) and total > 1000
+    got = mixing.demands(caps, shares, total)
+    assert abs(sum(got.values()) - total) < 1e-6 and got["c"] == 1 and abs(got["a"] / got["b"] - 0.6 / 0.39) < 0.1
+    assert mixing.demands(caps, shares, 1e9) == caps
+    assert mixing.largest_total({"a": 5.0}, {"a": 1.0}, 0.02) == 5
+
+
 def test_mix_of_nothing_and_scarce_total(spark):
     goals = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
     empty = spark.createDataFrame([], "doc_id long, source string, n_tokens long")

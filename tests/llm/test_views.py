@@ -171,6 +171,7 @@ def test_ward_and_leaves():
     x = np.concatenate([np.random.default_rng(0).normal(c, 0.05, (200, 2)) for c in (0, 3, 9)])
     n, ls, ss = clusters.leaves_of(x, 32)
     assert len(n) <= 32 and n.sum() == 600 and np.allclose(ls.sum(0), x.sum(0))
+    assert (ss / n - ((ls / n[:, None]) ** 2).sum(1)).max() < 0.1  # leaves are tight
     label = clusters.ward(n, ls, 3)
     assert sorted(int(n[label == k].sum()) for k in range(3)) == [200, 200, 200]
 
