@@ -140,6 +140,17 @@ def _conflict_sql(name: str, record: str, grp: str, held: str) -> str:
   SELECT g FROM (SELECT {grp} AS g, {canon_sql("split_role")} AS r FROM {name}) t WHERE g IS NOT NULL AND r IS NOT NULL GROUP BY g HAVING bool_or(r = '{held}') AND bool_or(r <> '{held}'))"""
 
 
+def _splits_sql(name: str, record: str, grp: str) -> str:
+    """Components of groups that share a record, then the best of the weighted scores of the splits."""
+    score = lambda split, w: f"{{'s': -{w}::DOUBLE / ln((CAST('0x' || substr(md5('split:{split}:' || component), 1, 13) AS UBIGINT)::DOUBLE + 0.5) / 4503599627370496.0), 'n': '{split}'}}"
+    best = ", ".join(score(s, w) for s, w in sorted(splits.DEFAULT.items()))
+    return f"""SELECT * FROM (WITH RECURSIVE p AS (SELECT DISTINCT {record} AS rec, {grp} AS grp FROM {name} WHERE {record} IS NOT NULL), lo AS (SELECT rec, min(grp) AS low, max(grp) AS high FROM p GROUP BY rec),
+  e AS (SELECT DISTINCT lo.low AS a, p.grp AS b FROM p JOIN lo USING (rec) WHERE lo.low < lo.high AND p.grp <> lo.low), ee AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM ee UNION (SELECT u.id, min(v.comp) FROM recurring.cc AS u JOIN ee ON ee.b = u.id JOIN cc AS v ON v.id = ee.a WHERE v.comp < u.comp GROUP BY u.id)),
+  c AS (SELECT rec, coalesce('g:' || coalesce(cc.comp, low), 'r:' || rec) AS component FROM lo LEFT JOIN cc ON cc.id = lo.low)
+  SELECT '{name}' AS record_table, rec AS record_id, component, list_sort([{best}])[-1].n AS split FROM c)"""
+
+
 _GLYPHS = f"""WITH RECURSIVE g AS (SELECT DISTINCT {canon_sql("sample_id")} AS id, {canon_sql("split_role")} AS role, nullif(regexp_replace({canon_sql("pixel_sha256")}, '^sha256[:=]?', ''), '') AS hash, views[1:100] AS v FROM glyph_items) """
 
 
@@ -153,6 +164,10 @@ def oracle_sql() -> dict[str, str]:
   cap AS (SELECT greatest(1, floor(count(DISTINCT i) * 0.02 + 1e-9)) AS c FROM p), k AS (SELECT {_trim("image_id")} AS i, max(risk_score) AS r FROM crop_scores WHERE risk_score >= 0 AND risk_score <= 1 AND NOT isnan(risk_score) GROUP BY 1),
   o AS (SELECT p.i, row_number() OVER (PARTITION BY s ORDER BY (r IS NULL)::INTEGER, r, p.i) AS rn FROM p LEFT JOIN k ON p.i = k.i WHERE s IS NOT NULL) SELECT DISTINCT i AS image_id FROM o, cap WHERE rn > c""",
         "p4_found": _GLYPHS + f"""SELECT DISTINCT least(a.id, b.id) AS sample_id_a, greatest(a.id, b.id) AS sample_id_b FROM g a JOIN g b ON a.role = 'train' AND b.role IN ('calibration', 'test') AND (a.hash = b.hash OR {near} <= 0.020001)""",
+        "p2_splits": _splits_sql("real_manifest", _trim("image_id"), canon_sql("source_id")) + " UNION ALL " + _splits_sql("glyph_items", canon_sql("sample_id"), canon_sql("base_char")),
+        "p4_report": _GLYPHS[:-1] + f""", pr AS (SELECT DISTINCT a.id AS t, b.id AS e FROM g a JOIN g b ON a.role = 'train' AND b.role IN ('calibration', 'test') AND (a.hash = b.hash OR {near} <= 0.020001)), n AS (SELECT e, count(*) AS pairs FROM pr GROUP BY e),
+  s AS (SELECT DISTINCT {canon_sql("sample_id")} AS id, {canon_sql("split_role")} AS role, source_group_id, unnest(CASE WHEN coalesce(len(source_asset_ids), 0) = 0 THEN [NULL] ELSE source_asset_ids END) AS asset FROM glyph_items)
+  SELECT role, source_group_id, asset, CAST(sum(pairs) AS BIGINT) AS n_pairs, count(DISTINCT id) AS n_records FROM n JOIN s ON s.id = n.e WHERE role IN ('calibration', 'test') GROUP BY ALL""",
         "p5_found": _GLYPHS[:-1] + f""", n AS (SELECT v, min(id) AS low FROM g WHERE v IS NOT NULL AND len(v) = 100 GROUP BY v), k AS (SELECT v, row_number() OVER (ORDER BY low, v) AS id FROM n),
   e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id < b.id AND {near} <= 0.080001), ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
   full_reach(a, b) AS (SELECT id, id FROM k UNION SELECT r.a, ee.b FROM full_reach r JOIN ee ON r.b = ee.a), c AS (SELECT a AS id, min(b) AS comp FROM full_reach GROUP BY a),

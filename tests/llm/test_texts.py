@@ -63,7 +63,7 @@ def test_shares_repeats_and_positions(spark):
     docs = [(k, s, rng.randint(5, 40)) for k, s in enumerate(["a"] * 800 + ["b"] * 500 + ["c"] * 60)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     goals = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.1, 3), ("none", 0.1, 5), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
-    mix, report = mixing.mixed(df, goals)
+    mix, report = mixing.mixed(df, goals, short=0.0)
     rep = {r.source: r for r in report.collect()}
     for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.1)):
         assert abs(rep[s].actual_share - share / 0.9) < 0.01 and rep[s].most_repeats <= rep[s].max_repeats
