@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbago.functions import text
 from plumbago.operators import bags, constraints, grouping, images, metrics, queues, sampling, vectors
+from plumbago.operators import views as arrays
 from plumbago.plans import views
 from plumbago.plans.views import canon_sql, ctes
 from plumbago.session import table, written
@@ -809,6 +810,31 @@ def corrupt_bitmaps(spark: SparkSession, d: str) -> DataFrame:
     return images.corrupted(rows, "sample_id", "views", 10)
 
 
+def _grays(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "glyph_items").select("sample_id", F.slice("views", 1, 100).alias("views"))
+
+
+def _moved(image, seed: int) -> dict:
+    out, tries, outcome = arrays.augmented(image, seed)
+    return {"tries": tries, "outcome": outcome, **arrays.visibility(image, out)}
+
+
+@query()
+def augmented_views(spark: SparkSession, d: str) -> DataFrame:
+    return arrays.mapped(_grays(spark, d), "sample_id", "views", 10, _moved, "tries int, outcome string, changed double, ink_changed double, edge_changed double, largest_body double")
+
+
+@query()
+def rendered_views(spark: SparkSession, d: str) -> DataFrame:
+    """Appearance, then photometry, then the three views at twice the size: their means and the image's topology."""
+
+    def work(image, seed: int) -> dict:
+        gray, mask, line = arrays.three_views(arrays.photometric(arrays.appearance(image, seed), seed), 20)
+        return {"gray": round(float(gray.mean()), 6), "ink": round(float(mask.mean()), 6), "edge": round(float(line.mean()), 6), "euler": arrays.euler_number(image < 0.5)}
+
+    return arrays.mapped(_grays(spark, d), "sample_id", "views", 10, work, "gray double, ink double, edge double, euler int")
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def progress_windows(spark: SparkSession, d: str) -> DataFrame:
     return progress.windows(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
