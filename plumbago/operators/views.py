@@ -12,8 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from plumbago.operators.images import components_of
-
 
 @dataclass(frozen=True)
 class Affine:
@@ -50,19 +48,12 @@ def appearance(image: np.ndarray, seed: int) -> np.ndarray:
 
 
 def euler_number(mask: np.ndarray) -> int:
-    """Parts minus holes: 8-connected ink, 4-connected background."""
-    ground = components_of(np.pad(~mask, 1, constant_values=True))
-    return _parts8(mask) - (ground - 1)
-
-
-def _parts8(mask: np.ndarray) -> int:
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        new = np.max([p[dy : dy + mask.shape[0], dx : dx + mask.shape[1]] for dy in range(3) for dx in range(3)], axis=0) * mask
-        if (new == label).all():
-            return len(np.unique(label[mask]))
-        label = new
+    """Parts minus holes (8-connected ink), from the counts of 2 x 2 patterns: one ink pixel adds, three take away, and a
+    diagonal pair takes away twice, a quarter each."""
+    p = np.pad(mask.astype(int), 1)
+    a, b, c, d = p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]
+    n = a + b + c + d
+    return int(((n == 1).sum() - (n == 3).sum() - 2 * ((n == 2) & (a == d)).sum()) // 4)
 
 
 def augmented(image: np.ndarray, seed: int, tries: int = 4) -> tuple[np.ndarray, int, str]:
@@ -147,13 +138,13 @@ def visibility(before: np.ndarray, after: np.ndarray, least: float = 16 / 255) -
     as a share of the ink."""
     changed = np.abs(before - after) > least
     ink = (before < 0.5) | (after < 0.5)
-    line = edges(before) | edges(after)
+    was, now = edges(before), edges(after)
     body = 0
     if changed.any():
         label = _labels(changed)
         body = int(np.bincount(label[changed]).max())
     part = lambda m, whole: float(m.sum()) / max(1, int(whole.sum()))
-    return {"changed": float(changed.mean()), "ink_changed": part(changed & ink, ink), "edge_changed": part(edges(before) ^ edges(after), line), "largest_body": body / max(1, int(ink.sum()))}
+    return {"changed": float(changed.mean()), "ink_changed": part(changed & ink, ink), "edge_changed": part(was ^ now, was | now), "largest_body": body / max(1, int(ink.sum()))}
 
 
 def _labels(mask: np.ndarray) -> np.ndarray:
