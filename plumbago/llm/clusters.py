@@ -41,8 +41,9 @@ REACH = 2
 #: Chance that one plane does not part two views at the limit (their angle is about 30 degrees at usual contrast).
 SAME_SIDE = 0.833
 TABLES = 28
-#: Tables worked on at a time: bounds the disk the shuffles take, however many tables there are.
-PASS = 14
+#: Tables worked on at a time: bounds the disk the shuffles take, however many tables there are. Spark holds on to the files
+#: of the last query, so those of two passes are there at a time.
+PASS = 7
 
 
 def tables_for(width: int, least: int = TABLES) -> int:
